@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import near_duplicates
+from siltworks.llm import near_duplicates, shared_spans
 from siltworks.storage import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
     return {
         "p5_found": lambda s, d: near_duplicates.near_duplicate_pairs(_docs(s, d)),
         "p5_groups": lambda s, d: near_duplicates.near_duplicate_groups(_docs(s, d)),
+        "p8_found": lambda s, d: shared_spans.shared_span_pairs(_docs(s, d)),
+        "p8_shares": lambda s, d: shared_spans.shared_parts(_docs(s, d)),
     }
 
 
