@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import near_duplicates, shared_spans
+from siltworks.llm import bpe_stream, near_duplicates, packing, shared_spans
 from siltworks.storage import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,25 @@ def _docs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return load(spark, folder, "documents").select("doc_id", "text", *columns)
 
 
+def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document whether decoding its ids gives its text again."""
+    docs = _docs(spark, folder)
+    back = bpe_stream.decode_corpus(bpe_stream.encode_corpus(docs)).withColumnRenamed("text", "decoded")
+    return docs.join(back, "doc_id").selectExpr("doc_id", "decoded = coalesce(text, '') AS same")
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(bpe_stream.token_counts(_docs(spark, folder)).withColumnRenamed("n_tokens", "size"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p5_found": lambda s, d: near_duplicates.near_duplicate_pairs(_docs(s, d)),
         "p5_groups": lambda s, d: near_duplicates.near_duplicate_groups(_docs(s, d)),
+        "p6_ids": lambda s, d: bpe_stream.encode_corpus(_docs(s, d)),
+        "p6_round_trip": p6_round_trip,
+        "p7_found": lambda s, d: _packed(s, d).where("piece > 0").select("doc_id").distinct(),
+        "p7_containers": _packed,
         "p8_found": lambda s, d: shared_spans.shared_span_pairs(_docs(s, d)),
         "p8_shares": lambda s, d: shared_spans.shared_parts(_docs(s, d)),
     }
