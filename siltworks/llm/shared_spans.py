@@ -120,11 +120,12 @@ def find_spans(docs: np.ndarray, at: np.ndarray, texts: list[str], p: Spans) ->
     none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "a_at", "b", "b_at", "n")})
     if len(set(docs.tolist())) < 2:
         return none
-    cp = tn.code_points("\0".join(t.replace("\0", "\ufffe") for t in texts) + "\0")
-    values, s = np.unique(cp, return_inverse=True)
-    s = s.astype(np.int64)
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     begins = np.cumsum(lengths) - lengths
+    cp = tn.code_points(" ".join(texts) + " ") + np.uint32(1)
+    cp[begins + lengths - 1] = 0  # what stands between texts is no character
+    _, s = np.unique(cp, return_inverse=True)
+    s = s.astype(np.int64)
     row = np.repeat(np.arange(len(texts)), lengths)
     fm = FMIndex(s, p.least)
     need = p.least - p.stride + 1
