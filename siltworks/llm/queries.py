@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import bpe_stream, near_duplicates, packing, shared_spans
+from siltworks.llm import bpe_stream, mixing, near_duplicates, packing, shared_spans, site_lines
 from siltworks.storage import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def _docs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return load(spark, folder, "documents").select("doc_id", "text", *columns)
 
 
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return load(spark, folder, "mix_plans"), load(spark, folder, "sample_stats")
+
+
 def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Per document whether decoding its ids gives its text again."""
     docs = _docs(spark, folder)
@@ -29,6 +33,13 @@ def _packed(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda s, d: mixing.unreachable(*_mix(s, d)),
+        "p1_shares": lambda s, d: mixing.plan_shares(*_mix(s, d)),
+        "p1_shards": lambda s, d: mixing.plan_blocks(*_mix(s, d)).select("mix_id", "lang", "blocks", "shard_blocks"),
+        "p1_records": lambda s, d: mixing.mix_records(_docs(s, d, "lang"), {"pt": 2.0, "es": 2.0, "hi": 1.0}),
+        "p4_found": lambda s, d: site_lines.repeated_lines(_docs(s, d, "site")).select("doc_id", "line_no"),
+        "p4_sequences": lambda s, d: site_lines.frequent_sequences(_docs(s, d, "site")),
+        "p4_texts": lambda s, d: site_lines.without_repeated_lines(_docs(s, d, "site")),
         "p5_found": lambda s, d: near_duplicates.near_duplicate_pairs(_docs(s, d)),
         "p5_groups": lambda s, d: near_duplicates.near_duplicate_groups(_docs(s, d)),
         "p6_ids": lambda s, d: bpe_stream.encode_corpus(_docs(s, d)),
@@ -40,5 +51,41 @@ def queries() -> dict[str, Query]:
     }
 
 
+_WHITE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_LATEST = """
+sizes AS (
+  SELECT sample_id, lang, greatest(coalesce(m.n, 0), 0) AS train_chars FROM (
+    SELECT sample_id, lang, max(struct_pack(t := measured_at, n := coalesce(train_chars, -1))) AS m FROM (
+      SELECT *  REPLACE (CASE regexp_replace(lower(trim(lang)), '-.*$', '') WHEN 'pt' THEN 'pt' WHEN 'por_latn' THEN 'pt' WHEN 'es' THEN 'es'
+        WHEN 'spa_latn' THEN 'es' WHEN 'hi' THEN 'hi' WHEN 'hin_deva' THEN 'hi' END AS lang) FROM sample_stats
+    ) WHERE lang IS NOT NULL GROUP BY ALL)),
+parts AS (
+  SELECT DISTINCT mix_id, sample_id, total_chars, max_repeats, i, trim(split_part(e, ':', 1)) AS lang, try_cast(trim(split_part(e, ':', 2)) AS DECIMAL(24, 9)) AS weight
+  FROM (SELECT *, unnest(string_split(lang_ratios, ',')) AS e, generate_subscripts(string_split(lang_ratios, ','), 1) AS i FROM mix_plans)),
+given AS (
+  SELECT mix_id, sample_id, total_chars, max_repeats, lang, arg_max(weight, i) AS weight FROM parts WHERE lang IN ('pt', 'es', 'hi') GROUP BY ALL),
+shares AS (
+  SELECT *, total_chars * weight::DOUBLE / (sum(weight) OVER (PARTITION BY mix_id))::DOUBLE AS wanted_chars,
+    weight::DOUBLE / (sum(weight) OVER (PARTITION BY mix_id))::DOUBLE AS part
+  FROM given WHERE weight > 0),
+joined AS (
+  SELECT s.*, coalesce(z.train_chars, 0) AS train_chars, max_repeats * coalesce(z.train_chars, 0) AS max_chars FROM shares s LEFT JOIN sizes z USING (sample_id, lang))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"WITH {_LATEST} SELECT DISTINCT mix_id, lang FROM joined WHERE wanted_chars > max_chars",
+        "p1_shares": f"""WITH {_LATEST}, used AS (
+            SELECT *, wanted_chars > max_chars AS short,
+              CASE WHEN wanted_chars > max_chars THEN max_chars ELSE cast(round_even(wanted_chars, 0) AS BIGINT) END AS used_chars FROM joined)
+            SELECT mix_id, lang, round(part, 9) AS wanted_share, wanted_chars, train_chars, max_chars, used_chars,
+              round(CASE WHEN train_chars > 0 THEN used_chars / train_chars ELSE 0 END, 9) AS uses, round(used_chars / total_chars, 9) AS share,
+              round(coalesce(used_chars / nullif(sum(used_chars) OVER (PARTITION BY mix_id), 0), 0), 9) AS actual_share, short FROM used""",
+        "p4_found": f"""WITH lines AS (
+            SELECT doc_id, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+            FROM documents WHERE site IS NOT NULL AND text IS NOT NULL),
+          plain AS (SELECT doc_id, site, line_no, trim(regexp_replace(regexp_replace(lower(line), '\\p{{Nd}}+', '', 'g'), '[{_WHITE}]+', ' ', 'g')) AS p FROM lines),
+          often AS (SELECT site, p FROM plain WHERE length(p) >= 20 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 6)
+          SELECT doc_id, line_no FROM plain JOIN often USING (site, p)""",
+    }
