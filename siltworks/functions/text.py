@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Python's str.split() and the regular expression \s of Python take it; Java's \s has fewer, even with (?U).
-SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Other codes that the sources use for the languages.
 LANGUAGE_CODES = {"por_latn": "pt", "spa_latn": "es", "hin_deva": "hi"}
 LANGUAGES = ("pt", "es", "hi")
