@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import bpe_stream, mixing, near_duplicates, packing, shared_spans, site_lines
+from siltworks.llm import bpe_stream, mixing, near_duplicates, packing, scanned_pages, shared_spans, site_lines
 from siltworks.storage import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,8 @@ def queries() -> dict[str, Query]:
         "p1_shares": lambda s, d: mixing.plan_shares(*_mix(s, d)),
         "p1_shards": lambda s, d: mixing.plan_blocks(*_mix(s, d)).select("mix_id", "lang", "blocks", "shard_blocks"),
         "p1_records": lambda s, d: mixing.mix_records(_docs(s, d, "lang"), {"pt": 2.0, "es": 2.0, "hi": 1.0}),
+        "p3_found": lambda s, d: scanned_pages.scan_noise(_docs(s, d), load(s, d, "word_counts")),
+        "p3_texts": lambda s, d: scanned_pages.repaired(_docs(s, d), load(s, d, "word_counts")),
         "p4_found": lambda s, d: site_lines.repeated_lines(_docs(s, d, "site")).select("doc_id", "line_no"),
         "p4_sequences": lambda s, d: site_lines.frequent_sequences(_docs(s, d, "site")),
         "p4_texts": lambda s, d: site_lines.without_repeated_lines(_docs(s, d, "site")),
