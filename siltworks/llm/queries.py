@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltworks.llm import bpe_stream, mixing, near_duplicates, packing, scanned_pages, shared_spans, site_lines
+from siltworks.llm import bpe_stream, mixing, near_duplicates, packing, scanned_pages, shared_spans, site_lines, text_quality
 from siltworks.storage import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,12 @@ def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return load(spark, folder, "mix_plans"), load(spark, folder, "sample_stats")
 
 
+def p2_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics by name."""
+    s = text_quality.quality_statistics(_docs(spark, folder), load(spark, folder, "word_counts"))
+    return s.select("doc_id", "n_words", *[F.round(F.col("s")[i], 6).alias(name) for i, name in enumerate(text_quality.STATISTICS)])
+
+
 def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Per document whether decoding its ids gives its text again."""
     docs = _docs(spark, folder)
@@ -37,6 +44,9 @@ def queries() -> dict[str, Query]:
         "p1_shares": lambda s, d: mixing.plan_shares(*_mix(s, d)),
         "p1_shards": lambda s, d: mixing.plan_blocks(*_mix(s, d)).select("mix_id", "lang", "blocks", "shard_blocks"),
         "p1_records": lambda s, d: mixing.mix_records(_docs(s, d, "lang"), {"pt": 2.0, "es": 2.0, "hi": 1.0}),
+        "p2_found": lambda s, d: text_quality.page_kinds(_docs(s, d), load(s, d, "word_counts")).where("n_words >= 5 AND kind <> 'prose'").select("doc_id").distinct(),
+        "p2_statistics": p2_statistics,
+        "p2_kinds": lambda s, d: text_quality.page_kinds(_docs(s, d), load(s, d, "word_counts")),
         "p3_found": lambda s, d: scanned_pages.scan_noise(_docs(s, d), load(s, d, "word_counts")),
         "p3_texts": lambda s, d: scanned_pages.repaired(_docs(s, d), load(s, d, "word_counts")),
         "p4_found": lambda s, d: site_lines.repeated_lines(_docs(s, d, "site")).select("doc_id", "line_no"),
