@@ -1,10 +1 @@
 """Operators on training data for language models. Nothing else in the library imports this subpackage."""
-
-from __future__ import annotations
-
-import sys
-
-from pyspark import cloudpickle
-
-# Executors need not have this repository on their path: functions sent to them carry the code they use.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
