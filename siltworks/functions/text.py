@@ -41,10 +41,13 @@ def language_code(lang: Column) -> Column:
 
 def shingles(text: Column, n: int = 5) -> Column:
     """Every run of n words joined by one blank; the empty array for fewer than n words."""
-    w = words(text)
-    last = F.size(w) - (n - 1)
-    starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
-    return F.when(last >= 1, F.transform(starts, lambda i: F.concat_ws(" ", F.slice(w, i, n)))).otherwise(F.array().cast("array<string>"))
+    # the words are bound once: named inside the inner function they would be split again for every shingle
+    def runs(w: Column) -> Column:
+        last = F.size(w) - (n - 1)
+        starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+        return F.when(last >= 1, F.transform(starts, lambda i: F.concat_ws(" ", F.slice(w, i, n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(words(text)), runs), 1)
 
 
 def byte_pieces(text: Column) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.plans import corpus
+from siltworks.plans import analytics, corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = corpus.QUERIES
+_ALL = corpus.QUERIES | analytics.QUERIES
 
 
 def queries() -> dict[str, Query]:

@@ -235,17 +235,17 @@ _BUCKETS = f"""{_SPLIT},
       FROM fold JOIN o ON o.lang = fold.lang AND o.i = fold.i + 1)),
   picked AS (SELECT lang, doc_id, bucket FROM fold WHERE i > 0)"""
 _OVER = f"""{_SPLIT},
-  n AS (SELECT lang, sum(bytes) AS natural, CASE lang WHEN 'hi' THEN 0.5 ELSE 0.25 END AS ratio FROM f GROUP BY lang),
-  t AS (SELECT *, (SELECT max(natural / ratio) FROM n) * ratio AS target FROM n),
-  r AS (SELECT f.lang, doc_id, bytes, greatest(0, ceil((target - (sum(bytes) OVER (PARTITION BY f.lang ORDER BY doc_id) - bytes)) / natural))::BIGINT AS repeats FROM f JOIN t USING (lang))"""
+  n AS (SELECT lang, sum(bytes) AS have, CASE lang WHEN 'hi' THEN 0.5 ELSE 0.25 END AS ratio FROM f GROUP BY lang),
+  t AS (SELECT *, (SELECT max(have / ratio) FROM n) * ratio AS target FROM n),
+  r AS (SELECT f.lang, doc_id, bytes, greatest(0, ceil((target - (sum(bytes) OVER (PARTITION BY f.lang ORDER BY doc_id) - bytes)) / have))::BIGINT AS repeats FROM f JOIN t USING (lang))"""
 _SHARDS = f"""{_SPLIT},
   c AS (SELECT lang, greatest(1, round_even(sum(bytes) / 200000.0, 0))::BIGINT AS n FROM f GROUP BY lang),
   s AS (SELECT doc_id, lang, bytes, ({_HASH.format(seed=SEED)} % n)::INT AS shard, md5('{SEED + 1}:' || doc_id) AS place FROM f JOIN c USING (lang))"""
 _STREAM = f"""{_SPLIT},
   p AS (SELECT lang, doc_id, length(text) + 1 AS size, sum(length(text) + 1) OVER (PARTITION BY lang ORDER BY doc_id) - length(text) - 1 AS start FROM f)"""
 _TOKENS = f"""{_STREAM},
-  tok AS (SELECT lang, doc_id, start + i AS at, i FROM (SELECT *, unnest(range(size)) AS i FROM p)),
-  seg AS (SELECT lang, doc_id, at // {BLOCK} AS "window", min(at % {BLOCK}) AS t, count(*) AS n, min(i) AS position FROM tok GROUP BY ALL)"""
+  tok AS (SELECT lang, doc_id, start + i AS spot, i FROM (SELECT *, unnest(range(size)) AS i FROM p)),
+  seg AS (SELECT lang, doc_id, spot // {BLOCK} AS "window", min(spot % {BLOCK}) AS t, count(*) AS n, min(i) AS position FROM tok GROUP BY ALL)"""
 _VAL = f"""{_SPLIT},
   h AS (SELECT *, row_number() OVER (ORDER BY {_HASH.format(seed=SEED)}, doc_id) AS r, greatest(1, floor(count(*) OVER () * 0.05)) AS k FROM f),
   v AS (SELECT *, CASE WHEN r <= k THEN 'val' ELSE 'train' END AS split FROM h)"""
