@@ -18,10 +18,11 @@ def byte_capped(docs: DataFrame, cap: int, by: str = "lang", order: str = "doc_i
 
 def fill_buckets(docs: DataFrame, caps: dict[str, int], by: str = "lang", order: str = "doc_id") -> DataFrame:
     """(by, order, bucket): each record goes to the bucket that is filled least in proportion and isn't full, the first listed in a tie;
-    records that come when all are full have none. A record can only matter while the bytes before it are below the sum of the caps,
-    so that what a task folds over is bounded by the caps, not by the data, and only (order, bytes) gets there."""
-    total = sum(caps.values())
+    records that come when all are full have none. A bucket exceeds its cap by one record at most, so a record can only matter while
+    the bytes before it are below the sum of the caps and such excesses: what a task folds over is bounded by the caps, not by
+    the data, and only (order, bytes) gets there."""
     names, sizes = list(caps), list(caps.values())
+    total = sum(sizes) + (len(sizes) - 1) * (docs.agg(F.max("bytes")).first()[0] or 0)
     near = running_total(docs.select(by, order, "bytes"), [by], order, "bytes", "_before").where(F.col("_before") < total)
 
     def fold(df: pd.DataFrame) -> pd.DataFrame:

@@ -175,7 +175,7 @@ def _points(s: SparkSession, d: str, least: float = 0.0) -> DataFrame:
 
 def isoflop_parabola(s: SparkSession, d: str) -> DataFrame:
     f = fitting.parabolas(_points(s, d), ["loss", "flops_budget"], "x", "y")
-    return f.select("loss", "flops_budget", "n", *[F.round(c, 4).alias(c) for c in ("a", "b", "c")])
+    return f.where("a IS NOT NULL").select("loss", "flops_budget", "n", *[F.round(c, 4).alias(c) for c in ("a", "b", "c")])
 
 
 def minima(s: SparkSession, d: str, least: float = 0.0) -> DataFrame:
