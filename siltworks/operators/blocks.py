@@ -2,41 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def block_groups(df: DataFrame, keys: list[str], member: str, block: int = 64) -> DataFrame:
-    """Splits every group of two or more members into blocks of at most `block` and pairs the blocks.
+    """Splits every group of two or more members into blocks of about `block` and pairs the blocks.
 
-    Input: distinct (keys..., member). Output: the input's columns and `bi <= bj`: the rows of one (keys, bi, bj) are at
-    most 2*block, and any two members of a group meet in exactly one of them as (blocks bi, bj) or, in the same
-    block, in (b, b). Groups up to `block` cost one copy of each row. A group of n members costs n*n/block rows, spread
-    over as many tasks as there are block pairs. Null members are dropped; an empty input gives an empty result.
+    Input: distinct (keys..., member). Output: the input's columns, `own` (the row's block) and `bi <= bj`: the rows of one (keys,
+    bi, bj) are about 2*block, and any two members of a group meet in (bi, bj), the blocks they are in. Groups are counted
+    with map-side sums and joined with their counts, blocks are chosen by a hash of the member: no step orders or holds a
+    group in one task, and a hot key's rows are split by the adaptive join. Groups up to `block` cost one copy of each row, one
+    of n members n*n/block rows over as many tasks as there are block pairs. Rows with a null member or key are dropped.
     """
-    w = Window.partitionBy(*keys)
-    numbered = (
-        df.where(F.col(member).isNotNull())
-        .withColumn("_n", F.count(F.lit(1)).over(w))
-        .where("_n > 1")
-        .withColumn("_b", F.floor((F.row_number().over(w.orderBy(member)) - 1) / F.lit(block)).cast("int"))
-        .withColumn("_m", F.floor((F.col("_n") - 1) / F.lit(block)).cast("int"))
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("_m"))).alias("_o")
+    some = df.where(F.col(member).isNotNull())
+    counts = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    numbered = some.join(counts, keys).withColumn("_m", F.ceil(F.col("_n") / F.lit(block)).cast("int"))
+    numbered = numbered.withColumn("own", F.pmod(F.xxhash64(member), F.col("_m")).cast("int"))
     return (
-        numbered.select("*", other)
-        .withColumn("bi", F.least("_b", "_o"))
-        .withColumn("bj", F.greatest("_b", "_o"))
-        .withColumn("own", F.col("_b"))
-        .drop("_n", "_b", "_m", "_o")
-    )
-
-
-def pairs_in(members: Column, own: Column | None = None) -> Column:
-    """All a < b of a short array (at most 2*block entries), as an array of structs (a, b)."""
-    m = F.array_sort(F.array_distinct(members))
-    return F.flatten(
-        F.transform(m, lambda x, i: F.transform(F.slice(m, i + 2, F.greatest(F.size(m) - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+        numbered.select("*", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_o"))
+        .withColumn("bi", F.least("own", "_o"))
+        .withColumn("bj", F.greatest("own", "_o"))
+        .drop("_n", "_m", "_o")
     )
 
 
