@@ -141,9 +141,11 @@ def classes_and_links(docs: DataFrame, p: Banding = Banding()) -> tuple[DataFram
     reps = sig.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     members = settle(sig.select("doc_id", "f1", "f2").join(reps, ["f1", "f2"]).select("doc_id", "rep").distinct())
     distinct = sig.join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    half = distinct.select("doc_id", "rights", F.explode("lefts").alias("l"))
-    agreeing = half.withColumn("n", F.expr("count(1) OVER (PARTITION BY l)")).where("n > 1")
-    keyed = agreeing.select("l", "doc_id", F.posexplode("rights").alias("j", "r"))
+    distinct = settle(distinct.select("doc_id", "lefts", "rights").dropDuplicates(["doc_id"]), "none")
+    # half keys that stand alone are dropped before their pairs are formed; counts have map-side sums, so that a hot one is no task of its own
+    several = distinct.select(F.explode("lefts").alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("l")
+    agreeing = distinct.select("doc_id", "rights", F.explode("lefts").alias("l")).join(several, "l")
+    keyed = settle(agreeing.select("l", "doc_id", F.posexplode("rights").alias("j", "r")))
     pairs = settle(candidate_pairs(keyed, ["l", "j", "r"], "doc_id"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     some = settle(only_ids(texts, ids).dropDuplicates(["doc_id"]))
