@@ -14,7 +14,8 @@ from siltworks.llm.fm_index import FMIndex
 DOCS = "doc_id long, text string, lang string, site string, a long, b long, rep long, h string, n long"
 # frequent words first, nouns and verbs after the sixty that frame sentences
 _FRAME = "a o de que um uma não e em com para por se foi mas quando porque ainda já cada".split() + [f"quadro{chr(97 + i)}" for i in range(40)]
-WORDS = [("pt", w, 1000 - i) for i, w in enumerate(_FRAME + "casa ponte livro jornal praça chegou abriu fechou".split())]
+_NOUNS = "casa ponte livro jornal praça chegou abriu fechou".split() + [a + b for a in ("mont", "barc", "fest", "jard", "vizinh", "quart", "torr", "merc") for b in ("anha", "eiro", "ival", "ado", "ura")]
+WORDS = [("pt", w, 1000 - i) for i, w in enumerate(_FRAME + _NOUNS)]
 
 
 def table(spark, rows):
@@ -320,11 +321,24 @@ def test_page_numbers():
 
 
 def test_page_kinds(spark):
-    prose = "Quando a casa abriu, um livro foi para a praça e não fechou. Ainda já foi com a ponte, mas cada jornal chegou porque se abriu."
-    rows = [(i, prose + f" Por que a casa {i} não chegou em um livro?", "pt", "s") for i in range(60)]
-    rows += [(100 + i, "\n".join(f"• casa {k} jornal" for k in range(20)), "pt", "s") for i in range(8)]
-    rows += [(200 + i, "\n".join(f"livro\t{k * 7}\t{k}%\t{k * 31},50" for k in range(20)), "pt", "s") for i in range(8)]
-    rows += [(300 + i, " ".join("{[%$#@"[k % 6] * 3 for k in range(90)), "pt", "s") for i in range(8)]
-    kind = {x.doc_id: x.kind for x in text_quality.page_kinds(table(spark, rows), words_table(spark)).collect()}
-    assert {kind[i] for i in range(60)} == {"prose"}
-    assert {kind[100 + i] for i in range(8)} <= {"list", "table"} and {kind[200 + i] for i in range(8)} == {"table"} and {kind[300 + i] for i in range(8)} == {"junk"}
+    r = random.Random(6)
+    noun = lambda: r.choice(_NOUNS)
+    number = lambda: r.choice((f"{r.randrange(100)}%", f"{r.randrange(9999)}", f"{r.randrange(99)}.{r.randrange(100, 999)}", f"{r.randrange(999)},{r.randrange(10, 99)}"))
+
+    def prose():
+        return " ".join(f"Quando a {noun()} abriu, um {noun()} foi para a {noun()} e não fechou com o {noun()} de Belo{r.choice('abcdef')}." for _ in range(9))
+
+    def items():
+        return "\n".join(f"• {noun()} {r.choice(('de Mira', 'regional', 'para ' + noun(), 'antigo'))}{r.choice('abcde')}" for _ in range(25))
+
+    def cells():
+        return "\n".join(f"{noun()} {r.choice(('regional', 'Mirão', 'antigo'))}\t{number()}\t{number()}\t{number()}\t{number()}" for _ in range(20))
+
+    def noise():
+        return " ".join("".join(r.choice("{}[]%$#@<>=~^|+*") for _ in range(r.randrange(1, 6))) for _ in range(90))
+
+    makers = {"prose": prose, "list": items, "table": cells, "junk": noise}
+    rows = [(1000 * k + i, f(), "pt", "s") for k, (name, f) in enumerate(makers.items()) for i in range(80 if name == "prose" else 12)]
+    kinds = list(makers)
+    for x in text_quality.page_kinds(table(spark, rows), words_table(spark)).collect():
+        assert x.kind == kinds[x.doc_id // 1000], x
