@@ -100,4 +100,12 @@ def oracle_sql() -> dict[str, str]:
           plain AS (SELECT doc_id, site, line_no, trim(regexp_replace(regexp_replace(lower(line), '\\p{{Nd}}+', '', 'g'), '[{_WHITE}]+', ' ', 'g')) AS p FROM lines),
           often AS (SELECT site, p FROM plain WHERE length(p) >= 20 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 6)
           SELECT doc_id, line_no FROM plain JOIN often USING (site, p)""",
+        "p5_found": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[{_WHITE}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+          s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+          n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+          j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+          SELECT a AS doc_id_a, b AS doc_id_b FROM j JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.6 * (x.n + y.n - c)""",
+        "p8_found": """WITH g AS (SELECT DISTINCT doc_id, md5(substr(text, i, 300)) AS h FROM (
+            SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))
+          SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id""",
     }
