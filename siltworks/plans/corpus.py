@@ -245,7 +245,7 @@ _STREAM = f"""{_SPLIT},
   p AS (SELECT lang, doc_id, length(text) + 1 AS size, sum(length(text) + 1) OVER (PARTITION BY lang ORDER BY doc_id) - length(text) - 1 AS start FROM f)"""
 _TOKENS = f"""{_STREAM},
   tok AS (SELECT lang, doc_id, start + i AS spot, i FROM (SELECT *, unnest(range(size)) AS i FROM p)),
-  seg AS (SELECT lang, doc_id, spot // {BLOCK} AS "window", min(spot % {BLOCK}) AS t, count(*) AS n, min(i) AS position FROM tok GROUP BY ALL)"""
+  seg AS (SELECT lang, doc_id, (spot // {BLOCK})::BIGINT AS "window", min(spot % {BLOCK})::BIGINT AS t, count(*) AS n, min(i) AS position FROM tok GROUP BY ALL)"""
 _VAL = f"""{_SPLIT},
   h AS (SELECT *, row_number() OVER (ORDER BY {_HASH.format(seed=SEED)}, doc_id) AS r, greatest(1, floor(count(*) OVER () * 0.05)) AS k FROM f),
   v AS (SELECT *, CASE WHEN r <= k THEN 'val' ELSE 'train' END AS split FROM h)"""
@@ -290,11 +290,11 @@ QUERIES = {
     "val_split_docs": (val_split_docs, f"WITH {_VAL} SELECT doc_id, split FROM v"),
     "pretoken_counts": (pretoken_counts, None),
     "pack_offsets": (pack_offsets, f"WITH {_STREAM} SELECT lang, doc_id, start::BIGINT AS start, size FROM p"),
-    "pack_segments": (pack_segments, f"""WITH {_TOKENS} SELECT lang, doc_id, "window", t, n, position, row_number() OVER (PARTITION BY lang, "window" ORDER BY t) - 1 AS doc FROM seg"""),
+    "pack_segments": (pack_segments, f"""WITH {_TOKENS} SELECT lang, doc_id, "window", t, n, position, row_number() OVER (PARTITION BY lang, "window" ORDER BY t)::INT - 1 AS doc FROM seg"""),
     "causal_pairs": (causal_pairs, f"""WITH {_TOKENS} SELECT lang, "window", sum(n)::BIGINT AS tokens, count(*) AS documents, sum(n * (n + 1) // 2)::BIGINT AS pairs FROM seg GROUP BY lang, "window" """),
     "pack_split_stats": (pack_split_stats, f"WITH {_VAL} SELECT split, count(*) AS docs, sum(length(text) + 1)::BIGINT AS tokens FROM v GROUP BY split"),
     "chat_render": (chat_render, """WITH m AS (SELECT doc_id, split_part(text, chr(10), 1) AS q, substr(text, length(split_part(text, chr(10), 1)) + 2) AS a FROM documents WHERE text IS NOT NULL),
         c AS (SELECT doc_id, '<|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || q || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) || a || '<|eot_id|>' AS chat FROM m)
-        SELECT doc_id, chat, length(chat) + length('<|start_header_id|>assistant<|end_header_id|>') + 2 AS prompt_length FROM c"""),
+        SELECT doc_id, chat, (length(chat) + length('<|start_header_id|>assistant<|end_header_id|>') + 2)::INT AS prompt_length FROM c"""),
     "dataset_card": (dataset_card, f"WITH {_SPLIT} SELECT lang, '| `' || lang || '` | ' || format('{{:,}}', count(*)) || ' |' AS line FROM f GROUP BY lang"),
 }
