@@ -11,9 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.text import shingles
 from siltworks.operators.components import components
-from siltworks.storage import settle
+from siltworks.storage import settle, spread
 
 PRIME = (1 << 31) - 1
 
@@ -47,16 +46,22 @@ def signatures(docs: DataFrame, c: MinhashConfig = MinhashConfig()) -> DataFrame
         mul, add = (np.array(x, dtype=np.uint64)[:, None] for x in zip(*ab))
         md5 = hashlib.md5
         for b in it:
-            out = []
-            for s in b.column("sh").to_pylist():
-                z = np.array([int.from_bytes(md5(x.encode()).digest()[:4], "big") >> 4 for x in set(s)], dtype=np.uint64)
+            out, has = [], []
+            for t in b.column("text").to_pylist():
+                w = t.split()
+                has.append(len(w) >= c.n_grams)
+                if not has[-1]:
+                    continue
+                digests = b"".join([md5(" ".join(w[i : i + c.n_grams]).encode()).digest()[:4] for i in range(len(w) - c.n_grams + 1)])
+                z = np.unique(np.frombuffer(digests, dtype=">u4").astype(np.uint64) >> np.uint64(4))
                 out.append(((mul * z + add) % np.uint64(PRIME)).min(axis=1).astype(np.int64))
             flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
             sig = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * len(ab)), flat)
+            b = b.filter(pa.array(has, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), sig], names=["doc_id", "lang", "signature"])
 
-    s = docs.where("text IS NOT NULL").select("doc_id", "lang", shingles(F.col("text"), c.n_grams).alias("sh")).where(F.size("sh") > 0)
-    return s.mapInArrow(run, "doc_id long, lang string, signature array<long>")
+    texts = docs.where("text IS NOT NULL").select("doc_id", "lang", "text")
+    return spread(texts).mapInArrow(run, "doc_id long, lang string, signature array<long>")
 
 
 def duplicate_links(sig: DataFrame, c: MinhashConfig = MinhashConfig()) -> DataFrame:

@@ -8,7 +8,6 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
@@ -47,4 +46,11 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-__all__ = ["StorageLevel", "load", "settle", "shared_dir"]
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores, for work in Python on whole texts. Large inputs have more splits than that and
+    stay where they are; only a small one, that a few files or row groups hold, is dealt out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+__all__ = ["load", "settle", "shared_dir", "spread"]
