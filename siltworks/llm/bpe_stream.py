@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from siltworks.llm import textnum as tn
+from siltworks.storage import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -162,7 +163,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_corpus(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -196,4 +197,4 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 out.append(sum(map(counts.__getitem__, units)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from siltworks.llm import textnum as tn
 from siltworks.operators.blocks import candidate_pairs
 from siltworks.operators.components import components
-from siltworks.storage import settle
+from siltworks.storage import settle, spread
 
 
 @dataclass(frozen=True)
@@ -135,7 +135,7 @@ def classes_and_links(docs: DataFrame, p: Banding = Banding()) -> tuple[DataFram
     """
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     sig = settle(
-        texts.mapInArrow(_signatures(p), "doc_id long, f1 long, f2 long, lefts array<long>, rights array<int>"),
+        spread(texts).mapInArrow(_signatures(p), "doc_id long, f1 long, f2 long, lefts array<long>, rights array<int>"),
         "none",
     )
     reps = sig.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))

@@ -21,7 +21,7 @@ from siltworks.llm import textnum as tn
 from siltworks.llm.fm_index import FMIndex
 from siltworks.llm.near_duplicates import expand, only_ids
 from siltworks.operators.blocks import block_groups
-from siltworks.storage import settle
+from siltworks.storage import settle, spread
 
 
 @dataclass(frozen=True)
@@ -173,12 +173,12 @@ def classes_and_spans(docs: DataFrame, p: Spans = Spans()) -> tuple[DataFrame, D
     Null and shorter texts are in neither, other columns are ignored, a doc_id given twice counts once.
     """
     texts = docs.select("doc_id", "text").where(f"doc_id IS NOT NULL AND length(text) >= {p.least}")
-    sig = settle(texts.mapInArrow(_anchors(p), "doc_id long, f1 long, f2 long, n long, anchors array<long>"), "none")
+    sig = settle(spread(texts).mapInArrow(_anchors(p), "doc_id long, f1 long, f2 long, n long, anchors array<long>"), "none")
     reps = sig.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     members = settle(sig.select("doc_id", "f1", "f2", "n").join(reps, ["f1", "f2", "n"]).select("doc_id", "rep").distinct())
     each = sig.join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("anchors").alias("h"))
-    spread = each.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
-    shared = settle(each.join(spread.select("h", F.col("x").alias("root")), "h"))
+    common = each.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
+    shared = settle(each.join(common.select("h", F.col("x").alias("root")), "h"))
     regions = only_ids(texts, shared.select("doc_id").distinct()).dropDuplicates(["doc_id"]).join(
         shared.groupBy("doc_id").agg(F.collect_set("h").alias("keys")), "doc_id"
     ).mapInArrow(_regions(p), "doc_id long, at long, region string")

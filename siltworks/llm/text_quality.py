@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm import textnum as tn
-from siltworks.storage import settle
+from siltworks.storage import settle, spread
 
 STATISTICS = ("words_per_line", "closed_lines", "top_words", "frame_words", "listed_words", "digit_words", "symbols", "word_length", "repeats", "sentence_length", "separators", "mixed_words", "sentence_words")
 _CLOSE = ".!?।॥…"
@@ -163,7 +163,7 @@ def quality_statistics(docs: DataFrame, words: DataFrame, p: Mixture = Mixture()
             s = [statistics(t, lists) if k else None for t, k in zip(texts, n)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64()))], names=["doc_id", "n_words", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, s array<double>")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_words long, s array<double>")
 
 
 class Gaussians:
