@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.text import SPACE_CLASS
-from siltworks.storage import settle
+from siltworks.storage import settle, spread
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,7 @@ def _sequences(docs: DataFrame, p: Repeats) -> DataFrame:
 
 def _mine(docs: DataFrame, p: Repeats) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
     """The occurrences of frequent lines, and by level the frequent sequences and their first matches."""
+    docs = spread(docs.select("doc_id", "text", "site"))
     rows = _sequences(docs, p)
     # within a document each line counts once, so that the count has only map-side partial sums to shuffle
     once = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND site IS NOT NULL").select(
