@@ -30,8 +30,9 @@ class Banding:
     right_rows: int = 2
     seed: int = 5
     similarity: float = 0.6
-    #: Copies of one text up to this many are also paired among themselves; of larger classes each copy is paired with the least id.
-    copies: int = 64
+    #: Copies of one text up to this many are also paired among themselves and with all partners; of larger classes each copy is paired
+    #: with the least id only. None: every pair of every class.
+    copies: int | None = 64
 
     def recall(self, s: float) -> float:
         """Probability that a pair of similarity s shares a table key."""
@@ -155,9 +156,30 @@ def classes_and_links(docs: DataFrame, p: Banding = Banding()) -> tuple[DataFram
     return members, both.select("a", "b", "ta", "tb").mapInArrow(_verify(p), "a long, b long, similarity double")
 
 
-def expand(members: DataFrame, links: DataFrame, copies: int) -> DataFrame:
+def _every_pair(members: DataFrame, links: DataFrame, block: int = 64) -> DataFrame:
+    """(a, b): all pairs inside the classes, and of each link all pairs of the members of its two classes. Classes meet in blocks of about
+    `block` members, so that a large one is no key of a single task."""
+    parts = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts")).where("parts > 1")
+    own = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int")
+    placed = members.join(parts, "rep", "left").select("rep", own.alias("own"), "doc_id")
+    met = links.select("a", "b")
+    for side in ("a", "b"):
+        blocks = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        met = met.join(parts.withColumnRenamed("rep", side), side, "left").withColumn(f"{side}_own", blocks).drop("parts")
+    across = (
+        met.join(placed.toDF("a", "a_own", "x"), ["a", "a_own"])
+        .join(placed.toDF("b", "b_own", "y"), ["b", "b_own"])
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .where("a < b")
+    )
+    return candidate_pairs(members, ["rep"], "doc_id", block).union(across)
+
+
+def expand(members: DataFrame, links: DataFrame, copies: int | None) -> DataFrame:
     """Pairs (doc_id_a < doc_id_b) of documents from pairs of representatives: classes of up to `copies` members in full; of
-    larger ones every member is paired with its representative, whose links then stand for all."""
+    larger ones every member is paired with its representative, whose links then stand for all. With None every class is in full."""
+    if copies is None:
+        return _every_pair(members, links).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
     sized = members.join(members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")), "rep")
     full = sized.where((F.col("n") <= copies) | (F.col("doc_id") == F.col("rep")))
     several = sized.where("n > 1")
@@ -173,7 +195,8 @@ def expand(members: DataFrame, links: DataFrame, copies: int) -> DataFrame:
 
 
 def near_duplicate_pairs(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
-    """(doc_id_a, doc_id_b): all pairs of records of similarity p.similarity or more; see classes_and_links and expand."""
+    """(doc_id_a, doc_id_b): the pairs of records of similarity p.similarity or more; with p.copies None all of them, else less those of
+    classes of more than p.copies copies that expand leaves to the least id; see classes_and_links and expand."""
     members, links = classes_and_links(docs, p)
     return expand(members, settle(links), p.copies)
 

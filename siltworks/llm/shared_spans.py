@@ -32,8 +32,8 @@ class Spans:
     #: Records of one anchor group that are indexed together; larger groups meet block by block.
     block: int = 128
     shard_chars: int = 600_000
-    #: As for near duplicates: larger classes of equal texts are listed against their least id.
-    copies: int = 64
+    #: As for near duplicates: larger classes of equal texts are listed against their least id; None: every pair of every class.
+    copies: int | None = 64
 
 
 def _anchors(p: Spans):

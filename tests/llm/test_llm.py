@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siltworks.llm import bpe_stream, mixing, near_duplicates, packing, scanned_pages, shared_spans, site_lines, text_quality
+from siltworks.llm import bpe_stream, mixing, near_duplicates, packing, queries, scanned_pages, shared_spans, site_lines, text_quality
 from siltworks.llm.fm_index import FMIndex
 
 DOCS = "doc_id long, text string, lang string, site string, a long, b long, rep long, h string, n long"
@@ -158,6 +158,19 @@ def test_large_class_of_copies_is_a_star(spark):
     assert got == {(0, i) for i in range(1, 100)} | {(0, 1000)}
 
 
+def test_queries_pair_every_copy_of_large_classes(spark, tmp_path):
+    """Two classes of more than 64 copies and a text near both, at least one of which takes several blocks: no pair is left to the least id."""
+    text = vocabulary(W, 90, 8)
+    near, other = (text.replace(text.split()[k], "other", 1) for k in (4, 80))
+    rows = [(i, text, "pt", "s") for i in range(150)] + [(i, near, "pt", "s") for i in range(500, 570)] + [(1000, other, "pt", "s"), (1001, vocabulary(W, 90, 9), "pt", "s")]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    ids = [r[0] for r in rows if r[0] != 1001]
+    truth = {(a, b) for a in ids for b in ids if a < b}
+    for name in ("p5_found", "p8_found"):
+        got = [tuple(x) for x in queries.queries()[name](spark, str(tmp_path)).collect()]
+        assert len(got) == len(set(got)) and set(got) == truth, name
+
+
 def test_shared_spans_brute_force(spark):
     r = random.Random(4)
     shared = [vocabulary(W, 140, 100 + i) for i in range(6)]
