@@ -1,8 +1,9 @@
 """Problem 4: lines repeated across one site's documents, by distributed PrefixSpan over sequences of line identifiers.
 
 Every document is a sequence of line identifiers of its site. Level 1 counts the documents of each line; each further
-level extends the frequent prefixes by the lines that follow their first match and counts again. The projected databases are
-rows (document, first match), never a site's documents in one task: a hot site is spread like any other.
+level extends the frequent prefixes by the lines that follow their first match and counts again, until a level has none. The
+projected databases are rows (document, first match), never a site's documents in one task: a hot site is spread like any other.
+Every part of a frequent sequence is frequent, so n lines that a site always puts together are 2^n - 1 sequences by definition.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from siltworks.storage import settle, spread
 class Repeats:
     documents: int = 6
     least_chars: int = 20
-    #: The longest sequence that is mined.
-    length: int = 3
+    #: The longest sequence that is mined; None: as long as any is frequent.
+    length: int | None = None
 
 
 def plain_line(line: Column) -> Column:
@@ -61,7 +62,7 @@ def _mine(docs: DataFrame, p: Repeats) -> tuple[DataFrame, list[DataFrame], list
     levels = [single.select("site", F.array("item").alias("sequence"), F.array("plain").alias("lines"), "support")]
     first = occurrences.groupBy("site", "doc_id", "item").agg(F.min("line_no").alias("at"))
     matches = [first.select("site", "doc_id", F.array("item").alias("sequence"), F.array("at").alias("at"))]
-    for _ in range(1, p.length):
+    while p.length is None or len(levels) < p.length:
         last = F.element_at("at", -1)
         step = (
             matches[-1].join(seqs, ["site", "doc_id"])
@@ -71,6 +72,8 @@ def _mine(docs: DataFrame, p: Repeats) -> tuple[DataFrame, list[DataFrame], list
         )
         step = settle(step)
         good = settle(step.groupBy("site", "sequence").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= p.documents))
+        if good.isEmpty():
+            break
         matches.append(step.join(good.select("site", "sequence"), ["site", "sequence"], "left_semi"))
         levels.append(good)
     return occurrences, levels, matches
@@ -95,7 +98,8 @@ def repeated_lines(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
 
 
 def frequent_sequences(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
-    """(site, length, lines, support): the frequent sequences of each site, lines as they are compared, joined by ' / '."""
+    """(site, length, lines, support): the frequent sequences of each site, of any length unless p.length bounds it, lines as they are
+    compared, joined by ' / '."""
     _, levels, _ = _mine(docs, p)
     names = levels[0].select("site", F.col("sequence")[0].alias("item"), F.col("lines")[0].alias("line"))
     out = None

@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -305,6 +306,16 @@ def test_site_lines(spark):
     assert names == {("a", 1, 6), ("a", 2, 6), ("b", 1, 6)}
 
 
+def test_site_sequences_of_any_length(spark):
+    """Five lines that six documents have in this order, one of them twice in two documents: every subsequence is frequent, the longest has five."""
+    lines = [f"linha comum do sítio, {w} parte" for w in ("primeira", "segunda", "terceira", "quarta", "quinta")]
+    rows = [(i, "\n".join([*lines[:3], f"texto próprio {'x' * i}", *lines[3:], *(lines[:1] if i < 2 else [])]), "pt", "a") for i in range(6)]
+    d = table(spark, rows)
+    got = [(x.length, x.lines, x.support) for x in site_lines.frequent_sequences(d).collect()]
+    assert sorted(got) == sorted((k, " / ".join(c), 6) for k in range(1, 6) for c in combinations(lines, k))
+    assert {x.longest for x in site_lines.repeated_lines(d).where("line_no < 7").collect()} == {5}
+
+
 PAGE = """o livro que foi de casa para a pon-
 te e não abriu a praça que ainda já
 jomal de casa e com um livro para
