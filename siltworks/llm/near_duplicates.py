@@ -156,23 +156,23 @@ def classes_and_links(docs: DataFrame, p: Banding = Banding()) -> tuple[DataFram
     return members, both.select("a", "b", "ta", "tb").mapInArrow(_verify(p), "a long, b long, similarity double")
 
 
-def _every_pair(members: DataFrame, links: DataFrame, block: int = 64) -> DataFrame:
-    """(a, b): all pairs inside the classes, and of each link all pairs of the members of its two classes. Classes meet in blocks of about
-    `block` members, so that a large one is no key of a single task."""
+def across_classes(members: DataFrame, links: DataFrame, block: int = 64) -> DataFrame:
+    """links(a, b, ...) with x and y: a row for every member x of the class of a and y of that of b. Classes meet in blocks of about `block`
+    members, so that a large one is no key of a single task."""
     parts = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts")).where("parts > 1")
     own = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int")
     placed = members.join(parts, "rep", "left").select("rep", own.alias("own"), "doc_id")
-    met = links.select("a", "b")
+    met = links
     for side in ("a", "b"):
         blocks = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
         met = met.join(parts.withColumnRenamed("rep", side), side, "left").withColumn(f"{side}_own", blocks).drop("parts")
-    across = (
-        met.join(placed.toDF("a", "a_own", "x"), ["a", "a_own"])
-        .join(placed.toDF("b", "b_own", "y"), ["b", "b_own"])
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .where("a < b")
-    )
-    return candidate_pairs(members, ["rep"], "doc_id", block).union(across)
+    return met.join(placed.toDF("a", "a_own", "x"), ["a", "a_own"]).join(placed.toDF("b", "b_own", "y"), ["b", "b_own"]).drop("a_own", "b_own")
+
+
+def _every_pair(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): all pairs inside the classes, and of each link all pairs of the members of its two classes."""
+    across = across_classes(members, links.select("a", "b")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b")
+    return candidate_pairs(members, ["rep"], "doc_id").union(across)
 
 
 def expand(members: DataFrame, links: DataFrame, copies: int | None) -> DataFrame:

@@ -59,6 +59,7 @@ def queries() -> dict[str, Query]:
         "p7_found": lambda s, d: _packed(s, d).where("piece > 0").select("doc_id").distinct(),
         "p7_containers": _packed,
         "p8_found": lambda s, d: shared_spans.shared_span_pairs(_docs(s, d), shared_spans.Spans(copies=None)),
+        "p8_spans": lambda s, d: shared_spans.shared_passages(_docs(s, d)),
         "p8_shares": lambda s, d: shared_spans.shared_parts(_docs(s, d)),
     }
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from siltworks.llm import textnum as tn
 from siltworks.llm.fm_index import FMIndex
-from siltworks.llm.near_duplicates import expand, only_ids
-from siltworks.operators.blocks import block_groups
+from siltworks.llm.near_duplicates import across_classes, expand, only_ids
+from siltworks.operators.blocks import block_groups, candidate_pairs
 from siltworks.storage import settle, spread
 
 
@@ -203,6 +203,23 @@ def shared_span_pairs(docs: DataFrame, p: Spans = Spans()) -> DataFrame:
     return expand(members, settle(spans.select("a", "b").distinct()), p.copies)
 
 
+def shared_passages(docs: DataFrame, p: Spans = Spans()) -> DataFrame:
+    """(doc_id_a, at_a, doc_id_b, at_b, n_chars): the passages, for every pair of records doc_id_a < doc_id_b that share some: runs of p.least
+    characters or more that can't be extended, from characters at_a and at_b (from 0) of the two texts. Of two copies of a text
+    that is the whole text. A record with copies has its rows like any other, whatever their number."""
+    members, spans = classes_and_spans(docs, p)
+    lengths = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy(F.col("doc_id").alias("a")).agg(F.max(F.length("text")).cast("long").alias("n"))
+    first, second = F.struct(F.col("x").alias("d"), F.col("a_at").alias("at")), F.struct(F.col("y").alias("d"), F.col("b_at").alias("at"))
+    across = (
+        across_classes(members, settle(spans))
+        .where("x <> y")
+        .select(F.least(first, second).alias("l"), F.greatest(first, second).alias("r"), "n")
+        .select(F.col("l.d").alias("a"), F.col("l.at").alias("a_at"), F.col("r.d").alias("b"), F.col("r.at").alias("b_at"), "n")
+    )
+    inside = candidate_pairs(members, ["rep"], "doc_id").join(lengths, "a").select("a", F.lit(0).cast("long").alias("a_at"), "b", F.lit(0).cast("long").alias("b_at"), "n")
+    return inside.union(across).distinct().toDF("doc_id_a", "at_a", "doc_id_b", "at_b", "n_chars")
+
+
 def shared_parts(docs: DataFrame, p: Spans = Spans()) -> DataFrame:
     """(doc_id, n_chars, shared_chars, share): of each record, how many characters lie in a run of p.least or more that also
     stands in another record; a record with a copy is shared as a whole if it has p.least characters. Null and empty

@@ -200,6 +200,35 @@ def test_shared_spans_brute_force(spark):
         assert x.shared_chars == cover.sum(), x.doc_id
 
 
+def test_query_of_shared_passages(spark, tmp_path):
+    """Every passage at its places, against all maximal runs; the texts with passages have copies, one more than 64."""
+    one, two = vocabulary(W, 100, 40)[:400], vocabulary(W, 100, 41)[:310]
+    texts = [vocabulary(W, 60, 50 + i) for i in range(4)]
+    texts = [texts[0] + one + texts[0][:40] + two, one + "#" + texts[1], "%" + two + texts[2] + one, texts[3] + two[:299]]
+    rows = [(k if k < 4 else 10 * k, texts[k % 4 if k < 6 else 1], "pt", "s") for k in range(80)]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    text, truth, runs = {r[0]: r[1] for r in rows}, set(), {}
+    for x in texts:
+        for y in texts:
+            if x == y:
+                runs[x, y] = [(0, 0, len(x))]
+                continue
+            a, b, found = np.array(list(x)), np.array(list(y)), []
+            for shift in range(-len(b) + 1, len(a)):
+                lo, hi = max(0, shift), min(len(a), len(b) + shift)
+                same = np.concatenate([[0], (a[lo:hi] == b[lo - shift : hi - shift]).astype(int), [0]])
+                for i, j in zip(np.flatnonzero(np.diff(same) == 1), np.flatnonzero(np.diff(same) == -1)):
+                    if j - i >= 300:
+                        found.append((int(lo + i), int(lo + i - shift), int(j - i)))
+            runs[x, y] = found
+    for a in text:
+        for b in text:
+            if a < b:
+                truth |= {(a, i, b, j, n) for i, j, n in runs[text[a], text[b]]}
+    got = [tuple(x) for x in queries.queries()["p8_spans"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == truth and len({x[4] for x in got}) > 2
+
+
 def test_span_blocks_of_a_hot_anchor(spark):
     s = vocabulary(W, 130, 9)
     rows = [(i, vocabulary(W, 30, i) + s + vocabulary(W, 30, 500 + i), "pt", "s") for i in range(30)]
