@@ -59,7 +59,7 @@ def nonempty_limit_semantics(s: SparkSession, d: str) -> DataFrame:
 def metadata_struct(s: SparkSession, d: str) -> DataFrame:
     """Provenance of each record: every column but text, id and language folded into one structure, written as JSON."""
     t = load(s, d, "documents")
-    extra = [c for c in ("n_chars", "site", "source_id", "url")]
+    extra = [c for c in t.columns if c not in ("doc_id", "text", "lang")]
     return t.select("doc_id", F.to_json(F.struct(*extra)).alias("folded"), F.try_parse_json("metadata").isNotNull().alias("valid_json"))
 
 

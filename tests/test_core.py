@@ -1,5 +1,6 @@
 """General operators: properties, brute force and edge cases."""
 
+import json
 import math
 import random
 
@@ -14,6 +15,7 @@ from siltworks.operators import dedup, fitting, metrics, sampling, shards, windo
 from siltworks.operators.blocks import candidate_pairs
 from siltworks.operators.components import components
 from siltworks.operators.prefix import running_total
+from siltworks.plans import analytics, corpus
 from siltworks.sources import readers, sinks
 from siltworks.storage import settle
 from siltworks.streaming import history as hist
@@ -220,6 +222,13 @@ def test_sources(spark, tmp_path):
         readers.read_language(spark, str(tmp_path), src, "pt")
 
 
+def test_metadata_struct_folds_every_column(spark, tmp_path):
+    t = spark.sql("SELECT 1L AS doc_id, 'x' AS text, 'pt' AS lang, 's' AS source, '{\"k\": 1}' AS metadata, timestamp'2024-01-02 03:04:05' AS crawled_at, 7 AS further")
+    t.write.parquet(str(tmp_path / "documents.parquet"))
+    row = corpus.metadata_struct(spark, str(tmp_path)).first()
+    assert json.loads(row.folded) == {"source": "s", "metadata": '{"k": 1}', "crawled_at": "2024-01-02T03:04:05.000Z", "further": 7} and row.valid_json
+
+
 def test_packed_and_csv(spark, tmp_path):
     np.array([1, 65535, 0], dtype="<u2").tofile(tmp_path / "t.bin")
     r = readers.read_packed(spark, str(tmp_path / "t.bin")).first()
