@@ -34,6 +34,11 @@ def is_complete(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def completed_rows(spark, path: str) -> int | None:
+    """The rows of a committed dataset, from its files' footers; None where none was committed."""
+    return spark.read.parquet(path).count() if is_complete(spark, path) else None
+
+
 def split_by_shard(shards: DataFrame, val_shards: int, by: str = "lang") -> DataFrame:
     """shards(by, shard) with split: of n shards the first min(val_shards, max(1, n div 10)) in order are val."""
     w = Window.partitionBy(by)

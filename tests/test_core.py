@@ -142,6 +142,13 @@ def test_shards(spark, tmp_path):
     assert [k for k in sorted(s) if s[k] == "val"] == [0, 1]
 
 
+def test_completed_rows(spark, tmp_path):
+    spark.range(37).write.parquet(str(tmp_path / "out"))
+    assert shards.completed_rows(spark, str(tmp_path / "out")) == 37 and shards.completed_rows(spark, str(tmp_path / "none")) is None
+    (tmp_path / "out" / "_SUCCESS").unlink()
+    assert shards.completed_rows(spark, str(tmp_path / "out")) is None
+
+
 def test_windows_equal_tokens(spark):
     sizes = [5, 0, 17, 3, 30]
     d = spark.createDataFrame([("pt", i, n) for i, n in enumerate(sizes)], "lang string, doc_id long, n_tokens long")
