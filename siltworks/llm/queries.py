@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltworks.functions.text import language_code, utf8_bytes, word_count
 from siltworks.llm import bpe_stream, mixing, near_duplicates, packing, scanned_pages, shared_spans, site_lines, text_quality
+from siltworks.operators import metrics
 from siltworks.storage import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +36,14 @@ def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(back, "doc_id").selectExpr("doc_id", "decoded = coalesce(text, '') AS same")
 
 
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Fertility and compression of the public vocabulary by language, and overall, as tokenizer_report; counts are joined, not texts."""
+    docs = _docs(spark, folder, "lang").withColumn("lang", language_code(F.col("lang"))).where("text <> '' AND lang IS NOT NULL")
+    sizes = docs.select("doc_id", "lang", word_count(F.col("text")).alias("w"), utf8_bytes(F.col("text")).alias("b"))
+    tokens = bpe_stream.token_counts(docs.select("doc_id", "text")).select("doc_id", F.col("n_tokens").alias("t_byte_bpe_50k"))
+    return metrics.report_of_counts(sizes.join(tokens, "doc_id"), ["byte_bpe_50k"])
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(bpe_stream.token_counts(_docs(spark, folder)).withColumnRenamed("n_tokens", "size"))
 
@@ -56,6 +66,7 @@ def queries() -> dict[str, Query]:
         "p5_groups": lambda s, d: near_duplicates.near_duplicate_groups(_docs(s, d)),
         "p6_ids": lambda s, d: bpe_stream.encode_corpus(_docs(s, d)),
         "p6_round_trip": p6_round_trip,
+        "p6_report": p6_report,
         "p7_found": lambda s, d: _packed(s, d).where("piece > 0").select("doc_id").distinct(),
         "p7_containers": _packed,
         "p8_found": lambda s, d: shared_spans.shared_span_pairs(_docs(s, d), shared_spans.Spans(copies=None)),

@@ -13,6 +13,11 @@ def report(docs: DataFrame, tokenizers: dict[str, Column], by: str = "lang") ->
     counts the tokens of `text`, be it built-in functions or a vectorized UDF. One pass over the texts computes all; ratios
     without words or tokens are NaN."""
     counts = docs.select(by, word_count(F.col("text")).alias("w"), utf8_bytes(F.col("text")).alias("b"), *[c.alias(f"t_{k}") for k, c in tokenizers.items()])
+    return report_of_counts(counts, list(tokenizers), by)
+
+
+def report_of_counts(counts: DataFrame, tokenizers: list[str], by: str = "lang") -> DataFrame:
+    """As report, of counts(by, w, b, t_NAME...): each text's words, bytes and tokens, for tokenizers that are no Column."""
     sums = counts.groupBy(by).agg(F.sum("w").alias("w"), F.sum("b").alias("b"), *[F.sum(f"t_{k}").alias(f"t_{k}") for k in tokenizers])
     stack = ", ".join(f"'{k}', `t_{k}`" for k in tokenizers)
     rows = sums.select(by, "w", "b", F.expr(f"stack({len(tokenizers)}, {stack}) AS (tokenizer, t)"))

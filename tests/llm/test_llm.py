@@ -290,6 +290,17 @@ def test_round_trip_on_spark(spark):
     assert {r.doc_id: r.text for r in bpe_stream.decode_corpus(ids).collect()} == {k: v or "" for k, v in texts.items()}
 
 
+def test_report_of_the_public_vocabulary(spark, public, tmp_path):
+    rows = [(1, "o livro é da casa", "pt", "s"), (2, "el libro 😀", "es", "s"), (3, "नमस्ते दुनिया", "hin_Deva", "s"), (4, None, "pt", "s"), (5, "sem língua", None, "s")]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.lang: (r.tokens, r.fertility, r.compression_ratio) for r in queries.queries()["p6_report"](spark, str(tmp_path)).collect()}
+    want = {}
+    for lang, texts in {"pt": [rows[0][1]], "es": [rows[1][1]], "hi": [rows[2][1]], "overall": [r[1] for r in rows[:3]]}.items():
+        n, w, b = (sum(map(f, texts)) for f in (lambda t: len(public.encode(t, add_special_tokens=False).ids), lambda t: len(t.split()), lambda t: len(t.encode())))
+        want[lang] = (n, pytest.approx(n / w, abs=1e-6), pytest.approx(b / n, abs=1e-6))
+    assert got == want
+
+
 @given(st.lists(st.integers(0, 100), max_size=60))
 @settings(max_examples=100, deadline=None)
 def test_packing_and_bound(sizes):
