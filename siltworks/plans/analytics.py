@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,7 +142,9 @@ def flops_per_second(s: SparkSession, d: str) -> DataFrame:
 
 def nearest_width(s: SparkSession, d: str) -> DataFrame:
     """The multiple of 64 whose model is nearest in size to each run's, the smaller one in a tie."""
-    w = s.range(1, 129).select((F.col("id") * 64).cast("int").alias("w"))
+    most = runs(s, d).agg(F.max("n_params")).first()[0] or 0
+    # a model has more than 12 * width^2 parameters, so that the last width is larger than any run's
+    w = s.range(1, max(128, math.isqrt(max(most, 0) // 12) // 64 + 1) + 1).select((F.col("id") * 64).cast("int").alias("w"))
     w = w.select("w", sc.num_params(F.col("w"), sc.layers_for_width(F.col("w")), VOCAB, BLOCK).alias("p")).agg(F.sort_array(F.collect_list(F.struct("p", "w"))).alias("all"))
     t = runs(s, d).select("n_params").distinct().crossJoin(F.broadcast(w))
     best = F.array_min(F.transform("all", lambda x: F.struct(F.abs(x["p"] - F.col("n_params")).alias("d"), x["w"].alias("w"))))

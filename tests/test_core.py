@@ -184,6 +184,12 @@ def test_scaling_functions(spark):
     assert v == ["65.5k", "32k", "8.2k"]
 
 
+def test_nearest_width_has_no_upper_end(spark, tmp_path):
+    sizes = spark.createDataFrame([(w,) for w in (64, 8192, 16384, 50048)], "w int")
+    sizes.select(sc.num_params(F.col("w"), sc.layers_for_width(F.col("w")), analytics.VOCAB, analytics.BLOCK).alias("n_params")).write.parquet(str(tmp_path / "isoflop_results.parquet"))
+    assert sorted(r.width for r in analytics.nearest_width(spark, str(tmp_path)).collect()) == [64, 8192, 16384, 50048]
+
+
 def test_fits(spark):
     x = np.linspace(1, 5, 10)
     rows = [("g", float(a), float(2 * a * a - 12 * a + 20)) for a in x] + [("line", float(a), float(a)) for a in x[:2]] + [("g", float("nan"), 1.0), ("g", 1.0, None)]
