@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from siltworks.llm import textnum as tn
 from siltworks.operators.blocks import candidate_pairs
 from siltworks.operators.components import components
+from siltworks.operators.semijoin import having
 from siltworks.storage import settle, spread
 
 
@@ -30,9 +32,8 @@ class Banding:
     right_rows: int = 2
     seed: int = 5
     similarity: float = 0.6
-    #: Copies of one text up to this many are also paired among themselves and with all partners; of larger classes each copy is paired
-    #: with the least id only. None: every pair of every class.
-    copies: int | None = 64
+    #: Characters of texts that one task holds to verify pairs.
+    verify_chars: int = 4_000_000
 
     def recall(self, s: float) -> float:
         """Probability that a pair of similarity s shares a table key."""
@@ -96,36 +97,34 @@ def _signatures(p: Banding):
 
 
 def _verify(p: Banding):
-    def run(it):
+    """Of the pairs (a, b) of one part and the texts of that part, each given once: the similar pairs."""
+
+    def run(pairs: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         powers, table = tn.Powers(), tn.space_table()
-        for b in it:
-            ta, tb = b.column("ta").to_pylist(), b.column("tb").to_pylist()
-            keep = np.zeros(len(ta), dtype=bool)
-            sim = np.zeros(len(ta))
-            for i, j in tn.chunks([x + y for x, y in zip(ta, tb)]):
-                _, _, xa, na = _shingles(ta[i:j], p.words, powers, table)
-                _, _, xb, nb = _shingles(tb[i:j], p.words, powers, table)
-                ea, eb = np.cumsum(na), np.cumsum(nb)
-                for r in range(j - i):
-                    a, c = np.unique(xa[ea[r] - na[r] : ea[r]]), np.unique(xb[eb[r] - nb[r] : eb[r]])
-                    common = len(np.intersect1d(a, c, assume_unique=True))
-                    sim[i + r] = common / max(len(a) + len(c) - common, 1)
-                    keep[i + r] = common > 0 and common >= p.similarity * (len(a) + len(c) - common) - 1e-9
-            k = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(k), b.column("b").filter(k), pa.array(sim[keep])], names=["a", "b", "similarity"])
+        ids, texts = docs["doc_id"].to_numpy(), docs["text"].tolist()
+        sets: list[np.ndarray] = []
+        for i, j in tn.chunks(texts):
+            _, _, x, n = _shingles(texts[i:j], p.words, powers, table)
+            ends = np.cumsum(n)
+            sets += [np.unique(x[e - k : e]) for e, k in zip(ends, n)]
+        order = np.argsort(ids)
+        at = {c: order[np.searchsorted(ids, pairs[c].to_numpy(), sorter=order)] for c in ("a", "b")}
+        sim, keep = np.zeros(len(pairs)), np.zeros(len(pairs), dtype=bool)
+        for r, (i, j) in enumerate(zip(at["a"].tolist(), at["b"].tolist())):
+            x, y = sets[i], sets[j]
+            # no pair of sets of such different sizes can be similar enough
+            if not len(x) or not len(y) or min(len(x), len(y)) < p.similarity * max(len(x), len(y)) - 1e-9:
+                continue
+            both = np.concatenate((x, y))
+            both.sort()
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            either = len(both) - common
+            sim[r], keep[r] = common / either, common > 0 and common >= p.similarity * either - 1e-9
+        return pairs[["a", "b"]].assign(similarity=sim)[keep]
 
     return run
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, buckets: int = 1 << 20) -> DataFrame:
-    """docs whose doc_id is in ids. A broadcast of at most `buckets` bucket numbers of the ids (16 MB, whatever the size
-    of the data) drops most of the other rows before the texts are shuffled; the join is exact."""
-    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
-    seen = ids.select(mark("doc_id").alias("_k")).distinct()
-    near = docs.withColumn("_k", mark("doc_id")).join(F.broadcast(seen), "_k", "left_semi").drop("_k")
-    return near.join(ids, "doc_id", "left_semi")
-
-
 def classes_and_links(docs: DataFrame, p: Banding = Banding()) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the records of docs(doc_id, text, ...).
 
@@ -147,13 +146,18 @@ def classes_and_links(docs: DataFrame, p: Banding = Banding()) -> tuple[DataFram
     several = distinct.select(F.explode("lefts").alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("l")
     agreeing = distinct.select("doc_id", "rights", F.explode("lefts").alias("l")).join(several, "l")
     keyed = settle(agreeing.select("l", "doc_id", F.posexplode("rights").alias("j", "r")))
-    pairs = settle(candidate_pairs(keyed, ["l", "j", "r"], "doc_id"))
+    pairs = settle(candidate_pairs(keyed, ["l", "j", "r"], "doc_id", group="g"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = settle(only_ids(texts, ids).dropDuplicates(["doc_id"]))
-    both = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(
-        some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"
-    )
-    return members, both.select("a", "b", "ta", "tb").mapInArrow(_verify(p), "a long, b long, similarity double")
+    some = settle(having(texts, "doc_id", settle(ids)).dropDuplicates(["doc_id"]))
+    # a block's pairs are verified together, its texts are sent once for all of them
+    need = pairs.select("g", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    chars = need.join(some.select("doc_id", F.length("text").alias("n")), "doc_id").agg(F.sum("n")).first()[0] or 0
+    parts = max(8, int(chars // p.verify_chars) + 1)
+    tasks = min(parts, 20000)
+    part = F.pmod("g", F.lit(parts)).alias("part")
+    held = need.select(part, "doc_id").distinct().join(some, "doc_id").repartition(tasks, "part")
+    links = pairs.select(part, "a", "b").repartition(tasks, "part").groupBy("part").cogroup(held.groupBy("part")).applyInPandas(_verify(p), "a long, b long, similarity double")
+    return members, links
 
 
 def across_classes(members: DataFrame, links: DataFrame, block: int = 64) -> DataFrame:
@@ -169,36 +173,40 @@ def across_classes(members: DataFrame, links: DataFrame, block: int = 64) -> Dat
     return met.join(placed.toDF("a", "a_own", "x"), ["a", "a_own"]).join(placed.toDF("b", "b_own", "y"), ["b", "b_own"]).drop("a_own", "b_own")
 
 
-def _every_pair(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b): all pairs inside the classes, and of each link all pairs of the members of its two classes."""
+def expand(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (doc_id_a < doc_id_b) of documents: all pairs inside the classes, and of each link of two representatives all pairs of the
+    members of their classes. Classes meet block by block, whatever their size."""
     across = across_classes(members, links.select("a", "b")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b")
-    return candidate_pairs(members, ["rep"], "doc_id").union(across)
-
-
-def expand(members: DataFrame, links: DataFrame, copies: int | None) -> DataFrame:
-    """Pairs (doc_id_a < doc_id_b) of documents from pairs of representatives: classes of up to `copies` members in full; of
-    larger ones every member is paired with its representative, whose links then stand for all. With None every class is in full."""
-    if copies is None:
-        return _every_pair(members, links).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
-    sized = members.join(members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")), "rep")
-    full = sized.where((F.col("n") <= copies) | (F.col("doc_id") == F.col("rep")))
-    several = sized.where("n > 1")
-    x, y = several.where(f"n <= {copies} OR doc_id = rep"), several
-    inside = x.select("rep", F.col("doc_id").alias("a")).join(y.select("rep", F.col("doc_id").alias("b")), "rep").where("a < b").select("a", "b")
-    across = (
-        links.select("a", "b")
-        .join(full.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), "a")
-        .join(full.select(F.col("rep").alias("b"), F.col("doc_id").alias("y")), "b")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    )
-    return inside.union(across).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
+    return candidate_pairs(members, ["rep"], "doc_id").union(across).distinct().toDF("doc_id_a", "doc_id_b")
+
+
+def linked_members(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, rep, links): members with how many other records each is linked to: those of the classes that its representative's links
+    lead to, and its own copies. The links between representatives and this table are all pairs, without listing them."""
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    ends = links.select("a", F.col("b").alias("rep")).union(links.select("b", "a"))
+    others = ends.join(sizes, "rep").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    own = sizes.join(others, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return members.join(own, "rep").select("doc_id", "rep", "links")
 
 
 def near_duplicate_pairs(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
-    """(doc_id_a, doc_id_b): the pairs of records of similarity p.similarity or more; with p.copies None all of them, else less those of
-    classes of more than p.copies copies that expand leaves to the least id; see classes_and_links and expand."""
+    """(doc_id_a, doc_id_b): all pairs of records of similarity p.similarity or more, copies among them; see classes_and_links."""
     members, links = classes_and_links(docs, p)
-    return expand(members, settle(links), p.copies)
+    return expand(members, settle(links))
+
+
+def near_duplicate_members(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
+    """(doc_id, rep, links): one row for each record of at least p.words words: the least doc_id of the records of the same words, and how
+    many other records are similar to it, copies included."""
+    members, links = classes_and_links(docs, p)
+    return linked_members(members, settle(links))
+
+
+def near_duplicate_links(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
+    """(rep_a, rep_b, similarity): the similar pairs of different texts, by the least doc_id of each text (near_duplicate_members)."""
+    _, links = classes_and_links(docs, p)
+    return links.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), F.round("similarity", 6).alias("similarity"))
 
 
 def near_duplicate_groups(docs: DataFrame, p: Banding = Banding()) -> DataFrame:

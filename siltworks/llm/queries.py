@@ -62,14 +62,17 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda s, d: site_lines.repeated_lines(_docs(s, d, "site")).select("doc_id", "line_no"),
         "p4_sequences": lambda s, d: site_lines.frequent_sequences(_docs(s, d, "site")),
         "p4_texts": lambda s, d: site_lines.without_repeated_lines(_docs(s, d, "site")),
-        "p5_found": lambda s, d: near_duplicates.near_duplicate_pairs(_docs(s, d), near_duplicates.Banding(copies=None)),
+        "p5_found": lambda s, d: near_duplicates.near_duplicate_pairs(_docs(s, d)),
+        "p5_members": lambda s, d: near_duplicates.near_duplicate_members(_docs(s, d)),
+        "p5_links": lambda s, d: near_duplicates.near_duplicate_links(_docs(s, d)),
         "p5_groups": lambda s, d: near_duplicates.near_duplicate_groups(_docs(s, d)),
         "p6_ids": lambda s, d: bpe_stream.encode_corpus(_docs(s, d)),
         "p6_round_trip": p6_round_trip,
         "p6_report": p6_report,
         "p7_found": lambda s, d: _packed(s, d).where("piece > 0").select("doc_id").distinct(),
         "p7_containers": _packed,
-        "p8_found": lambda s, d: shared_spans.shared_span_pairs(_docs(s, d), shared_spans.Spans(copies=None)),
+        "p8_found": lambda s, d: shared_spans.shared_span_pairs(_docs(s, d)),
+        "p8_members": lambda s, d: shared_spans.shared_span_members(_docs(s, d)),
         "p8_spans": lambda s, d: shared_spans.shared_passages(_docs(s, d)),
         "p8_shares": lambda s, d: shared_spans.shared_parts(_docs(s, d)),
     }

@@ -1,10 +1,11 @@
-"""Problem 8: long exact spans shared between records, by FM-indexes over shards.
+"""Problem 8: long exact spans shared between records, by compressed FM-indexes over shards.
 
 Anchors (the least of the hashes of `gram` characters in every run of `least` - `gram` + 1 of them) are chosen by content
-alone, so any two records with `least` characters in common have an anchor in common. Records that share an anchor meet
-in a shard, which indexes the regions around their shared anchors. The regions are then streamed against the index:
-backward search from every `stride`-th position gives matching statistics; where they reach `least` - `stride`
-characters, the match is extended to both sides character by character and kept if it has `least`.
+alone, so any two records with `least` characters in common have an anchor in common. The pieces of text around anchors
+that several records have meet in shards of bounded size. A shard indexes some of its pieces and streams others against
+the index: backward search over the wavelet matrix gives matching statistics at every `stride`-th place, as far as
+`least` - `stride` + 1 characters. Where they get there, the places that match are located; those of one diagonal that
+follow each other are one run, whose two ends alone are looked for character by character, over `stride` of them at most.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from siltworks.llm import textnum as tn
 from siltworks.llm.fm_index import FMIndex
-from siltworks.llm.near_duplicates import across_classes, expand, only_ids
-from siltworks.operators.blocks import block_groups, candidate_pairs
+from siltworks.llm.near_duplicates import expand, linked_members
+from siltworks.operators.blocks import block_groups
+from siltworks.operators.semijoin import marked
 from siltworks.storage import settle, spread
 
 
@@ -29,11 +31,14 @@ class Spans:
     least: int = 300
     gram: int = 150
     stride: int = 64
-    #: Records of one anchor group that are indexed together; larger groups meet block by block.
-    block: int = 128
+    #: Longer stretches of text around anchors are cut to pieces of about so many characters that overlap by `least`.
+    piece: int = 30_000
+    #: Characters of the pieces that share an anchor which are indexed together; larger groups meet block by block.
+    block_chars: int = 600_000
+    #: Characters of a shard, that of one block or of several small groups.
     shard_chars: int = 600_000
-    #: As for near duplicates: larger classes of equal texts are listed against their least id; None: every pair of every class.
-    copies: int | None = 64
+    #: Places that are located and joined to runs at a time.
+    hits: int = 2_000_000
 
 
 def _anchors(p: Spans):
@@ -74,83 +79,118 @@ def _anchors(p: Spans):
     return run
 
 
-def _regions(p: Spans):
-    """Of each (doc_id, text, keys, groups): the merged regions around the anchors in keys, with where they start."""
+def _pieces(p: Spans):
+    """Of each (doc_id, text, keys): the merged regions around the anchors in keys, cut to pieces, with where they start and the anchors
+    that are wholly in them. Any `least` characters of a region are wholly in one of its pieces."""
 
     def run(it):
         powers = tn.Powers()
+        reach = p.least - p.gram
         for b in it:
-            out: dict[str, list] = {"doc_id": [], "at": [], "region": []}
-            keys = b.column("keys").to_pylist()
-            for doc, text, want in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), keys):
+            out: dict[str, list] = {"doc_id": [], "at": [], "region": [], "anchors": []}
+            keys = b.column("keys")
+            for r, (doc, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())):
                 cp = tn.code_points(text).astype(np.uint64) + np.uint64(1)
                 h = tn.prefix_hash(cp, powers)
                 at = np.arange(len(cp) - p.gram + 1)
-                hit = np.flatnonzero(np.isin(tn.range_hash(h, at, at + p.gram, powers), np.array(want, dtype=np.int64).view(np.uint64)))
-                reach = p.least - p.gram
+                grams = tn.range_hash(h, at, at + p.gram, powers).view(np.int64)
+                hit = np.flatnonzero(np.isin(grams, np.asarray(keys[r].values)))
                 begin, end = np.maximum(hit - reach, 0), np.minimum(hit + p.gram + reach, len(text))
                 new = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
                 stop = np.concatenate([new[1:] - 1, [len(hit) - 1]])
                 for x, y in zip(begin[new].tolist(), end[stop].tolist()):
-                    out["doc_id"].append(doc)
-                    out["at"].append(x)
-                    out["region"].append(text[x:y])
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("region", pa.string())]))
+                    for u in range(x, max(y - p.least, x) + 1, p.piece):
+                        v = min(u + p.piece + p.least, y)
+                        own = hit[np.searchsorted(hit, u) : np.searchsorted(hit, v - p.gram, side="right")]
+                        out["doc_id"].append(doc)
+                        out["at"].append(u)
+                        out["region"].append(text[u:v])
+                        out["anchors"].append(np.unique(grams[own]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("region", pa.string()), ("anchors", pa.list_(pa.int64()))]))
 
     return run
 
 
-def _extend(s: np.ndarray, x: np.ndarray, y: np.ndarray, way: int) -> np.ndarray:
-    """How far s matches from x and from y, going right (way 1) or left (way -1); separators (0) never match."""
-    far = np.zeros(len(x), dtype=np.int64)
-    live = np.arange(len(x))
-    step = np.arange(64) * way
-    pad = np.concatenate([np.zeros(64, s.dtype), s, np.zeros(64, s.dtype)])
-    while len(live):
-        a, b = pad[(x[live] + way * far[live])[:, None] + step + 64], pad[(y[live] + way * far[live])[:, None] + step + 64]
-        same = (a == b) & (a != 0)
-        run = np.where(same.all(axis=1), 64, np.argmin(same, axis=1))
-        far[live] += run
-        live = live[run == 64]
-    return far
-
-
-def find_spans(docs: np.ndarray, at: np.ndarray, texts: list[str], p: Spans) -> pd.DataFrame:
-    """All maximal runs of `least` characters or more that texts of different docs share: (a, a_at, b, b_at, n), a < b."""
-    none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "a_at", "b", "b_at", "n")})
-    if len(set(docs.tolist())) < 2:
-        return none
+def _extend(q: np.ndarray, x: np.ndarray, t: np.ndarray, y: np.ndarray, way: int, most: int) -> np.ndarray:
+    """How far, up to `most`, q matches from x on and t from y on, going right (way 1) or left (way -1); separators (0) never match."""
+    step = np.arange(most) * way + most
+    q, t = (np.concatenate([np.zeros(most, v.dtype), v, np.zeros(most, v.dtype)]) for v in (q, t))
+    a, b = q[x[:, None] + step], t[y[:, None] + step]
+    same = (a == b) & (a != 0)
+    return np.where(same.all(axis=1), most, np.argmin(same, axis=1))
+
+
+def _merged(d: np.ndarray, x: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (diagonal, begin, end) with those that touch or overlap on a diagonal as one."""
+    if not len(d):
+        return d, x, end
+    order = np.lexsort((x, d))
+    d, x, end = d[order], x[order], end[order]
+    # the furthest end so far on the diagonal: diagonals are far apart once each has its own offset
+    far = int(end.max() - x.min()) + 2
+    off = np.cumsum(np.concatenate([[0], d[1:] != d[:-1]])) * far
+    reach = np.maximum.accumulate(end + off) - off
+    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] > reach[:-1])]))
+    return d[new], x[new], reach[np.concatenate([new[1:] - 1, [len(d) - 1]])]
+
+
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points plus one, 0 after each text; where each text begins; the text of each place)."""
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     begins = np.cumsum(lengths) - lengths
-    cp = tn.code_points(" ".join(texts) + " ") + np.uint32(1)
-    cp[begins + lengths - 1] = 0  # what stands between texts is no character
-    _, s = np.unique(cp, return_inverse=True)
-    s = s.astype(np.int64)
-    row = np.repeat(np.arange(len(texts)), lengths)
-    fm = FMIndex(s, p.least)
+    cp = tn.code_points(" ".join(texts) + " " * bool(texts)) + np.uint32(1)
+    cp[begins + lengths - 1] = 0
+    return cp, begins, np.repeat(np.arange(len(texts)), lengths)
+
+
+def find_spans(docs: np.ndarray, at: np.ndarray, texts: list[str], p: Spans, indexed: np.ndarray | None = None, streamed: np.ndarray | None = None) -> pd.DataFrame:
+    """The runs of `least` characters or more that a streamed and an indexed text of different docs share, none of which can be extended:
+    (a, a_at, b, b_at, n), a < b. Without marks all texts are indexed and streamed."""
+    names = ("a", "a_at", "b", "b_at", "n")
+    every = np.ones(len(texts), dtype=bool)
+    rows_t, rows_q = (np.flatnonzero(every if m is None else m) for m in (indexed, streamed))
+    none = pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
+    if not len(rows_t) or not len(rows_q) or len(np.unique(docs)) < 2:
+        return none
+    t, begin_t, row_t = _joined([texts[i] for i in rows_t])
+    q, begin_q, row_q = _joined([texts[i] for i in rows_q])
+    values, s = np.unique(np.concatenate([t, q]), return_inverse=True)
+    t, q = s[: len(t)].astype(np.int64), s[len(t) :].astype(np.int64)
+    fm = FMIndex(t, len(values))
+    both = np.isin(rows_q, rows_t)
+    # every stride-th place of a streamed text, from its end on, that has `need` characters before it
     need = p.least - p.stride + 1
-    # the ends of the backward searches: every stride-th position of a region that has `need` characters before it
-    ends = np.concatenate([np.arange(b + n - 1, b + need - 1, -p.stride) for b, n in zip(begins, lengths)] or [np.zeros(0, np.int64)])
-    lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), fm.n, np.int64)
-    live = np.arange(len(ends))
-    for k in range(1, need + 1):
-        if not len(live):
-            break
-        lo[live], hi[live] = fm.step(s[ends[live] - k], lo[live], hi[live])
-        live = live[hi[live] - lo[live] > 1]
+    length = np.diff(np.append(begin_q, len(q)))
+    ends = np.concatenate([np.arange(b + n - 1, b + need - 1, -p.stride)[::-1] for b, n in zip(begin_q, length)] or [np.zeros(0, np.int64)])
+    n, lo, hi = fm.statistics(q, ends, np.full(len(ends), need))
+    # a text that is indexed too always finds itself
+    live = np.flatnonzero((n == need) & (hi - lo > both[row_q[ends - 1]]))
     if not len(live):
         return none
     size = hi[live] - lo[live]
-    x = np.repeat(ends[live] - need, size)
-    y = fm.sa[np.repeat(lo[live], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)].astype(np.int64)
-    other = docs[row[x]] != docs[row[y]]
-    x, y = x[other], y[other]
-    left = _extend(s, x - 1, y - 1, -1)
-    n = left + _extend(s, x, y, 1)
-    keep = n >= p.least
-    x, y, n = (x - left)[keep], (y - left)[keep], n[keep]
-    da, db = docs[row[x]], docs[row[y]]
-    pa_, pb = at[row[x]] + x - begins[row[x]], at[row[y]] + y - begins[row[y]]
+    part = np.cumsum(size) // p.hits
+    runs = [np.zeros(0, np.int64)] * 3
+    doc_q, doc_t, both_t = docs[rows_q], docs[rows_t], np.isin(rows_t, rows_q)
+    for k in np.unique(part):
+        mine, of = live[part == k], size[part == k]
+        x = np.repeat(ends[mine] - need, of)
+        y = fm.locate(np.repeat(lo[mine], of) + np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of))
+        i, j = row_q[x], row_t[y]
+        # of two texts that are both indexed and streamed, one way is enough
+        keep = (doc_q[i] != doc_t[j]) & ((doc_q[i] < doc_t[j]) | ~(both[i] & both_t[j]))
+        d, x, end = _merged((y - x)[keep], x[keep], x[keep] + need)
+        if len(x):
+            left = _extend(q, x - 1, t, x + d - 1, -1, p.stride)
+            right = _extend(q, end, t, end + d, 1, p.stride)
+            # what was cut between two parts overlaps once extended
+            runs = list(_merged(*(np.concatenate(z) for z in zip(runs, (d, x - left, end + right)))))
+    d, x, end = runs
+    keep = end - x >= p.least
+    d, x, n = d[keep], x[keep], (end - x)[keep]
+    y = x + d
+    i, j = row_q[x], row_t[y]
+    da, db = doc_q[i], doc_t[j]
+    pa_, pb = at[rows_q[i]] + x - begin_q[i], at[rows_t[j]] + y - begin_t[j]
     swap = da > db
     out = pd.DataFrame({"a": np.where(swap, db, da), "a_at": np.where(swap, pb, pa_), "b": np.where(swap, da, db), "b_at": np.where(swap, pa_, pb), "n": n})
     return out.drop_duplicates()
@@ -158,66 +198,89 @@ def find_spans(docs: np.ndarray, at: np.ndarray, texts: list[str], p: Spans) ->
 
 def _shard(p: Spans):
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.drop_duplicates(["doc_id", "at"])
-        return find_spans(df["doc_id"].to_numpy(), df["at"].to_numpy(), df["region"].tolist(), p)
+        df = df.groupby(["doc_id", "at"], sort=True).agg({"region": "first", "indexed": "any", "streamed": "any"}).reset_index()
+        return find_spans(df["doc_id"].to_numpy(), df["at"].to_numpy(), df["region"].tolist(), p, df["indexed"].to_numpy(), df["streamed"].to_numpy())
 
     return run
 
 
-def classes_and_spans(docs: DataFrame, p: Spans = Spans()) -> tuple[DataFrame, DataFrame]:
-    """(members, spans) of the records of docs(doc_id, text, ...).
+def _whole_runs(found: DataFrame) -> DataFrame:
+    """Spans of several shards as whole runs: those that overlap on one diagonal of two records are parts of one run."""
+    on = "PARTITION BY a, b, b_at - a_at ORDER BY a_at, n"
+    first = found.withColumn("new", F.expr(f"CASE WHEN a_at <= max(a_at + n) OVER ({on} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END"))
+    runs = first.withColumn("run", F.expr(f"sum(new) OVER ({on} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")).withColumn("shift", F.expr("b_at - a_at"))
+    whole = runs.groupBy("a", "b", "shift", "run").agg(F.min("a_at").alias("a_at"), F.max(F.expr("a_at + n")).alias("end"))
+    return whole.select("a", "a_at", "b", F.expr("a_at + shift").alias("b_at"), F.expr("end - a_at").alias("n"))
 
-    members(doc_id, rep): records of at least `least` characters with the least doc_id of those with the same text.
-    spans(a, a_at, b, b_at, n): runs of n >= least characters that two different representatives a < b share, from
-    character a_at and b_at (from 0); each cannot be extended within the region that the two records' anchors mark.
-    Null and shorter texts are in neither, other columns are ignored, a doc_id given twice counts once.
-    """
+
+def _classes(docs: DataFrame, p: Spans) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, signatures, members); see classes_and_spans."""
     texts = docs.select("doc_id", "text").where(f"doc_id IS NOT NULL AND length(text) >= {p.least}")
     sig = settle(spread(texts).mapInArrow(_anchors(p), "doc_id long, f1 long, f2 long, n long, anchors array<long>"), "none")
     reps = sig.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     members = settle(sig.select("doc_id", "f1", "f2", "n").join(reps, ["f1", "f2", "n"]).select("doc_id", "rep").distinct())
+    return texts, sig, members
+
+
+def classes_and_found(docs: DataFrame, p: Spans = Spans()) -> tuple[DataFrame, DataFrame]:
+    """As classes_and_spans, but a long span may come in parts, each of at least p.least characters, and more than once."""
+    texts, sig, members = _classes(docs, p)
     each = sig.join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("anchors").alias("h"))
-    common = each.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
-    shared = settle(each.join(common.select("h", F.col("x").alias("root")), "h"))
-    regions = only_ids(texts, shared.select("doc_id").distinct()).dropDuplicates(["doc_id"]).join(
-        shared.groupBy("doc_id").agg(F.collect_set("h").alias("keys")), "doc_id"
-    ).mapInArrow(_regions(p), "doc_id long, at long, region string")
-    regions = settle(regions)
-    met = block_groups(shared.select("root", "doc_id").distinct(), ["root"], "doc_id", p.block).select("root", "bi", "bj", "doc_id")
-    placed = settle(met.join(regions, "doc_id"))
-    chars = placed.agg(F.sum(F.length("region"))).first()[0] or 0
-    shards = int(chars // p.shard_chars) + 1
-    spans = (
-        placed.withColumn("shard", F.pmod(F.xxhash64("root", "bi", "bj"), F.lit(shards)))
-        .repartition(min(max(shards, 1), 20000), "shard")
+    common = each.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("h")
+    keys = settle(each.join(common, "h").groupBy("doc_id").agg(F.collect_set("h").alias("keys")))
+    near = marked(texts, "doc_id", keys.select("doc_id")).where("maybe").drop("maybe").dropDuplicates(["doc_id"]).join(keys, "doc_id")
+    pieces = settle(near.mapInArrow(_pieces(p), "doc_id long, at long, region string, anchors array<long>"))
+    held = pieces.select("doc_id", "at", F.length("region").alias("size"), F.explode("anchors").alias("h"))
+    # the pieces that have an anchor belong to the least of them
+    piece = F.struct("doc_id", "at")
+    roots = held.groupBy("h").agg(F.min(piece).alias("root"), F.max("doc_id").alias("last")).where("root.doc_id <> last").select("h", "root")
+    groups = held.join(roots, "h").select("root", piece.alias("piece"), "size").distinct()
+    met = block_groups(groups, ["root"], "piece", p.block_chars, "size").select("root", "bi", "bj", "own", "piece.doc_id", "piece.at", "size")
+    met = settle(met)
+    shards = max(8, int((met.agg(F.sum("size")).first()[0] or 0) // p.shard_chars) + 1)
+    placed = met.select(
+        F.pmod(F.xxhash64("root", "bi", "bj"), F.lit(shards)).alias("shard"), "doc_id", "at", (F.col("own") == F.col("bj")).alias("indexed"), (F.col("own") == F.col("bi")).alias("streamed")
+    )
+    found = (
+        placed.join(pieces.select("doc_id", "at", "region"), ["doc_id", "at"])
+        .repartition(min(shards, 20000), "shard")
         .groupBy("shard")
         .applyInPandas(_shard(p), "a long, a_at long, b long, b_at long, n long")
-        .distinct()
     )
-    return members, spans
+    return members, found
+
+
+def classes_and_spans(docs: DataFrame, p: Spans = Spans()) -> tuple[DataFrame, DataFrame]:
+    """(members, spans) of the records of docs(doc_id, text, ...).
+
+    members(doc_id, rep): records of at least `least` characters with the least doc_id of those with the same text.
+    spans(a, a_at, b, b_at, n): runs of n >= least characters that two different representatives a < b share, from
+    character a_at and b_at (from 0), none of which can be extended. Null and shorter texts are in neither, other columns are
+    ignored, a doc_id given twice counts once.
+    """
+    members, found = classes_and_found(docs, p)
+    return members, _whole_runs(found)
 
 
 def shared_span_pairs(docs: DataFrame, p: Spans = Spans()) -> DataFrame:
-    """(doc_id_a, doc_id_b): records whose texts have p.least characters in a row in common. Copies as in expand()."""
-    members, spans = classes_and_spans(docs, p)
-    return expand(members, settle(spans.select("a", "b").distinct()), p.copies)
+    """(doc_id_a, doc_id_b): all pairs of records whose texts have p.least characters in a row in common, copies among them."""
+    members, found = classes_and_found(docs, p)
+    return expand(members, settle(found.select("a", "b").distinct()))
+
+
+def shared_span_members(docs: DataFrame, p: Spans = Spans()) -> DataFrame:
+    """(doc_id, rep, links): one row for each record that shares p.least characters with another: the least doc_id of the records of the
+    same text, and how many other records share some with it, its copies included."""
+    members, found = classes_and_found(docs, p)
+    return linked_members(members, settle(found.select("a", "b").distinct()))
 
 
 def shared_passages(docs: DataFrame, p: Spans = Spans()) -> DataFrame:
-    """(doc_id_a, at_a, doc_id_b, at_b, n_chars): the passages, for every pair of records doc_id_a < doc_id_b that share some: runs of p.least
-    characters or more that can't be extended, from characters at_a and at_b (from 0) of the two texts. Of two copies of a text
-    that is the whole text. A record with copies has its rows like any other, whatever their number."""
-    members, spans = classes_and_spans(docs, p)
-    lengths = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy(F.col("doc_id").alias("a")).agg(F.max(F.length("text")).cast("long").alias("n"))
-    first, second = F.struct(F.col("x").alias("d"), F.col("a_at").alias("at")), F.struct(F.col("y").alias("d"), F.col("b_at").alias("at"))
-    across = (
-        across_classes(members, settle(spans))
-        .where("x <> y")
-        .select(F.least(first, second).alias("l"), F.greatest(first, second).alias("r"), "n")
-        .select(F.col("l.d").alias("a"), F.col("l.at").alias("a_at"), F.col("r.d").alias("b"), F.col("r.at").alias("b_at"), "n")
-    )
-    inside = candidate_pairs(members, ["rep"], "doc_id").join(lengths, "a").select("a", F.lit(0).cast("long").alias("a_at"), "b", F.lit(0).cast("long").alias("b_at"), "n")
-    return inside.union(across).distinct().toDF("doc_id_a", "at_a", "doc_id_b", "at_b", "n_chars")
+    """(rep_a, at_a, rep_b, at_b, n_chars): the passages, between different texts: runs of p.least characters or more that can't be
+    extended, from characters at_a and at_b (from 0) of the texts of the records rep_a < rep_b, each the least doc_id of those with its text
+    (shared_span_members has which records those are)."""
+    _, spans = classes_and_spans(docs, p)
+    return spans.toDF("rep_a", "at_a", "rep_b", "at_b", "n_chars")
 
 
 def shared_parts(docs: DataFrame, p: Spans = Spans()) -> DataFrame:

@@ -152,11 +152,16 @@ def test_hot_group_of_near_copies_is_whole(spark):
     assert near_duplicates.near_duplicate_pairs(table(spark, rows)).count() == 150 * 149 // 2
 
 
-def test_large_class_of_copies_is_a_star(spark):
+def test_members_and_links_are_all_pairs(spark):
+    """A class of 100 copies, an edited text and one that stands alone: no link of a copy is lost, and members tell their number."""
     text = vocabulary(W, 90, 8)
-    rows = [(i, text, "pt", "s") for i in range(100)] + [(1000, text.replace(text.split()[4], "other", 1), "pt", "s")]
-    got = {tuple(x) for x in near_duplicates.near_duplicate_pairs(table(spark, rows)).collect()}
-    assert got == {(0, i) for i in range(1, 100)} | {(0, 1000)}
+    rows = [(i, text, "pt", "s") for i in range(100)] + [(1000, text.replace(text.split()[4], "other", 1), "pt", "s"), (1001, vocabulary(W, 90, 9), "pt", "s")]
+    d = table(spark, rows)
+    ids = [*range(100), 1000]
+    for pairs, members in ((near_duplicates.near_duplicate_pairs, near_duplicates.near_duplicate_members), (shared_spans.shared_span_pairs, shared_spans.shared_span_members)):
+        assert {tuple(x) for x in pairs(d).collect()} == {(a, b) for a in ids for b in ids if a < b}
+        assert {(x.doc_id, x.rep, x.links) for x in members(d).collect()} == {(i, 0, 100) for i in range(100)} | {(1000, 1000, 100), (1001, 1001, 0)}
+    assert [(x.rep_a, x.rep_b) for x in near_duplicates.near_duplicate_links(d).collect()] == [(0, 1000)]
 
 
 def test_queries_pair_every_copy_of_large_classes(spark, tmp_path):
@@ -201,7 +206,7 @@ def test_shared_spans_brute_force(spark):
 
 
 def test_query_of_shared_passages(spark, tmp_path):
-    """Every passage at its places, against all maximal runs; the texts with passages have copies, one more than 64."""
+    """Every passage at its places, against all maximal runs; the texts with passages have copies, which the members name."""
     one, two = vocabulary(W, 100, 40)[:400], vocabulary(W, 100, 41)[:310]
     texts = [vocabulary(W, 60, 50 + i) for i in range(4)]
     texts = [texts[0] + one + texts[0][:40] + two, one + "#" + texts[1], "%" + two + texts[2] + one, texts[3] + two[:299]]
@@ -223,24 +228,102 @@ def test_query_of_shared_passages(spark, tmp_path):
             runs[x, y] = found
     for a in text:
         for b in text:
-            if a < b:
+            if a < b and text[a] != text[b]:
                 truth |= {(a, i, b, j, n) for i, j, n in runs[text[a], text[b]]}
+    reps, members = {}, {}
+    for x in queries.queries()["p8_members"](spark, str(tmp_path)).collect():
+        reps[x.doc_id] = x.rep
+        members.setdefault(x.rep, []).append(x.doc_id)
+    assert all((reps[a] == reps[b]) == (text[a] == text[b]) for a in text for b in text)
     got = [tuple(x) for x in queries.queries()["p8_spans"](spark, str(tmp_path)).collect()]
-    assert len(got) == len(set(got)) and set(got) == truth and len({x[4] for x in got}) > 2
+    every = {(x, i, y, j, n) if x < y else (y, j, x, i, n) for a, i, b, j, n in got for x in members[a] for y in members[b]}
+    assert len(got) == len(set(got)) and every == truth and {x[4] for x in got} == {310, 400}
 
 
 def test_span_blocks_of_a_hot_anchor(spark):
     s = vocabulary(W, 130, 9)
     rows = [(i, vocabulary(W, 30, i) + s + vocabulary(W, 30, 500 + i), "pt", "s") for i in range(30)]
-    p = shared_spans.Spans(block=8, shard_chars=5000)
+    p = shared_spans.Spans(block_chars=5000, shard_chars=5000, hits=500)
     assert shared_spans.shared_span_pairs(table(spark, rows), p).count() == 30 * 29 // 2
 
 
+def test_hot_passage_in_bounded_memory():
+    """What one task of a hot passage holds: two blocks of records that all share 5,000 characters, within 1 GB; every pair comes out."""
+    import tracemalloc
+
+    p, s = shared_spans.Spans(), vocabulary(W, 1300, 9)[:5000]
+    texts = [vocabulary(W, 60, i) + s + vocabulary(W, 60, 5000 + i) for i in range(208)]
+    half = np.arange(208) < 104
+    tracemalloc.start()
+    found = shared_spans.find_spans(np.arange(208), np.zeros(208, np.int64), texts, p, half, ~half)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1e9 and len(found[["a", "b"]].drop_duplicates()) == 104 * 104 and found["n"].min() >= 5000
+
+
+def test_long_near_copies(spark):
+    """Two texts of four million characters with 2,000 changes: work in proportion to their length, all passages between the changes."""
+    import time
+
+    text = list(vocabulary(W, 1_050_000, 3)[:4_000_000])
+    other, r = list(text), random.Random(4)
+    for _ in range(2000):
+        other[r.randrange(len(other))] = "#"
+    at = [-1, *(i for i in range(len(text)) if text[i] != other[i]), len(text)]
+    want = {(i + 1, j - i - 1) for i, j in zip(at, at[1:]) if j - i - 1 >= 300}
+    began = time.time()
+    got = shared_spans.shared_passages(table(spark, [(1, "".join(text), "pt", "s"), (2, "".join(other), "pt", "s")])).collect()
+    assert time.time() - began < 60 and {(x.at_a, x.n_chars) for x in got if x.at_a == x.at_b} == want
+
+
+def test_periodic_texts(spark):
+    rows = [(1, "ab " * 8000, "pt", "s"), (2, "ab " * 7000 + "x", "pt", "s"), (3, "\0" * 3000, "pt", "s"), (4, "\0" * 2000, "pt", "s")]
+    p = shared_spans.Spans(piece=5000, hits=100_000)
+    assert {tuple(x) for x in shared_spans.shared_span_pairs(table(spark, rows), p).collect()} == {(1, 2), (3, 4)}
+    assert {x.doc_id: x.shared_chars for x in shared_spans.shared_parts(table(spark, rows), p).collect()} == {1: 24000, 2: 21000, 3: 3000, 4: 2000}
+
+
+@given(st.lists(st.text("ab", max_size=40), min_size=2, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_spans_equal_all_maximal_runs(texts):
+    """Small windows, pieces of a few places at a time, against every maximal run of two texts."""
+    p = shared_spans.Spans(least=6, gram=3, stride=2, hits=7)
+    want = set()
+    for a, x in enumerate(texts):
+        for b, y in enumerate(texts):
+            if a < b:
+                for i in range(len(x)):
+                    for j in range(len(y)):
+                        if not (i and j and x[i - 1] == y[j - 1]):
+                            n = 0
+                            while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                                n += 1
+                            if n >= 6:
+                                want.add((a, i, b, j, n))
+    got = shared_spans.find_spans(np.arange(len(texts)), np.zeros(len(texts), np.int64), texts, p)
+    assert {tuple(map(int, x)) for x in got.itertuples(index=False)} == want
+
+
+@given(st.lists(st.text("abc", max_size=30), min_size=1, max_size=5), st.text("abcd", min_size=1, max_size=40))
+@settings(max_examples=60, deadline=None)
+def test_matching_statistics(texts, query):
+    t = np.concatenate([np.array([ord(c) - 96 for c in x] + [0]) for x in texts])
+    fm = FMIndex(t, 5, sample=3)
+    q = np.array([ord(c) - 96 for c in query])
+    ends = np.arange(1, len(q) + 1)
+    n, lo, hi = fm.statistics(q, ends, np.minimum(ends, 7))
+    for e, k, a, b in zip(ends, n, lo, hi):
+        best = max(m for m in range(min(e, 7) + 1) if m == 0 or any(query[e - m : e] in x for x in texts))
+        assert k == best
+        if k:
+            assert sorted(fm.locate(np.arange(a, b))) == [i for i in range(len(t)) if list(t[i : i + k]) == list(q[e - k : e])]
+
+
 @given(st.text("abc", min_size=1, max_size=80), st.text("abc", min_size=1, max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_fm_index_counts(text, pattern):
     s = np.array([ord(c) - 96 for c in text] + [0])
-    fm = FMIndex(s, len(s))
+    fm = FMIndex(s)
     lo, hi = np.array([0]), np.array([len(s)])
     for c in reversed(pattern):
         lo, hi = fm.step(np.array([ord(c) - 96]) if ord(c) - 96 <= s.max() else np.array([0]), lo, hi)
