@@ -463,6 +463,33 @@ def test_scanned_page(spark):
     assert text[2] == plain[0][1]
 
 
+def test_long_book():
+    """2,000 pages of 30 lines with running headers, a fifth of them misread, and numbers at the ends of other lines: in seconds."""
+    import time
+
+    r, lines, want = random.Random(1), [], set()
+    for k in range(2000):
+        want.add(len(lines))
+        title = "HISTÓRIA DE UMA CASA" if k % 2 else "VIAGENS ATÉ A PONTE"
+        at = r.randrange(len(title))
+        lines.append(f"{title if r.random() < 0.8 else title[:at] + '1' + title[at + 1:]} {k + 1}")
+        for _ in range(30):
+            line = vocabulary([w for w in _FRAME + _NOUNS if not w.startswith("quadro")], 14, r.random())[:66].strip()
+            lines.append(line + (f" 1{r.randrange(1000)}" if r.random() < 0.05 else ""))
+    began = time.time()
+    got = scanned_pages.furniture(lines, scanned_pages.page_width(lines))
+    assert time.time() - began < 5 and len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_gates_of_pages():
+    """Each gate is a setting: with another value the page passes or not."""
+    text, lists = PAGE, {"pt": {w for _, w, _ in WORDS}}
+    found = lambda p: scanned_pages.analyse(text, lists, scanned_pages._punctuation(), p) is not None
+    assert found(scanned_pages.Scans())
+    for gate in ({"least_lines": 13}, {"widths": (50, 110)}, {"widths": (20, 30)}, {"full_lines": 0.99}, {"open_lines": 1.01}, {"line_words": 12.0}, {"listed": 0.99}):
+        assert not found(scanned_pages.Scans(**gate)), gate
+
+
 def test_page_numbers():
     assert [scanned_pages.page_number(x) for x in ("— 12 —", "[९]", "xiv", "Página 3", "पृष्ठ ७३ / ११३", "texto 5", "1a")] == [12, 9, 14, 3, 73, None, None]
 
