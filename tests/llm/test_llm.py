@@ -2,7 +2,6 @@
 
 import random
 import re
-from itertools import combinations
 
 import numpy as np
 import pytest
@@ -426,17 +425,63 @@ def test_site_lines(spark):
     clean = {x.doc_id: x.text for x in site_lines.without_repeated_lines(table(spark, rows)).collect()}
     assert clean[3] == "texto próprio número xxx\nfim" and clean[20] == line and clean[21] == ""
     names = {(x.site, x.length, x.support) for x in site_lines.frequent_sequences(d).collect()}
-    assert names == {("a", 1, 6), ("a", 2, 6), ("b", 1, 6)}
+    assert names == {("a", 2, 6), ("b", 1, 6)}  # in a, neither line ever stands without the other
 
 
-def test_site_sequences_of_any_length(spark):
-    """Five lines that six documents have in this order, one of them twice in two documents: every subsequence is frequent, the longest has five."""
+def test_notice_of_five_lines(spark):
+    """Five lines that six documents have in this order, the first of them once more in two documents: one sequence of five, and the first line."""
     lines = [f"linha comum do sítio, {w} parte" for w in ("primeira", "segunda", "terceira", "quarta", "quinta")]
     rows = [(i, "\n".join([*lines[:3], f"texto próprio {'x' * i}", *lines[3:], *(lines[:1] if i < 2 else [])]), "pt", "a") for i in range(6)]
     d = table(spark, rows)
     got = [(x.length, x.lines, x.support) for x in site_lines.frequent_sequences(d).collect()]
-    assert sorted(got) == sorted((k, " / ".join(c), 6) for k in range(1, 6) for c in combinations(lines, k))
-    assert {x.longest for x in site_lines.repeated_lines(d).where("line_no < 7").collect()} == {5}
+    assert sorted(got) == [(1, lines[0], 6), (5, " / ".join(lines), 6)]
+    assert {(x.doc_id, x.line_no): x.longest for x in site_lines.repeated_lines(d).collect()} == {**{(i, k): 5 for i in range(6) for k in (1, 2, 3, 5, 6)}, (0, 7): 1, (1, 7): 1}
+
+
+def test_closed_sequences_brute_force(spark):
+    """Against all runs of frequent lines: those in six documents that no longer run has as many places of. Rows are all places of lines in six documents."""
+    r = random.Random(11)
+    lines = [f"linha comum do sítio número {w} do texto" for w in "abcdefgh"]
+    rows = []
+    for i in range(60):
+        chosen = r.choice(([0, 1, 2, 3], [0, 1, 2, 3, 4], [5, 0, 1], [6, 7], [6, 7, 6, 7], [2, 3, 6], [4])) + r.choice(([], [5], [0, 1]))
+        text = []
+        for k in chosen:
+            text += [lines[k] + str(r.randrange(99))] + [f"próprio texto {i} {'y' * r.randrange(30)}" for _ in range(r.randrange(2))]
+        rows.append((i, "\n".join(text), "pt", "ab"[i % 2]))
+    keep = lambda x: re.sub(r"\d+", "", x)
+    have: dict = {}
+    for i, text, _, site in rows:
+        for x in set(map(keep, text.split("\n"))):
+            have.setdefault((site, x), set()).add(i)
+    often = {x for x, ds in have.items() if len(ds) >= 6}
+    want_rows = {(i, n) for i, text, _, site in rows for n, x in enumerate(text.split("\n"), 1) if (site, keep(x)) in often and len(keep(x)) >= 20}
+    places, docs = {}, {}
+    for i, text, _, site in rows:
+        s = [keep(x) for x in text.split("\n") if (site, keep(x)) in often and len(keep(x)) >= 20]
+        for a in range(len(s)):
+            for b in range(a + 1, len(s) + 1):
+                run = (site, *s[a:b])
+                places[run] = places.get(run, 0) + 1
+                docs.setdefault(run, set()).add(i)
+    longer = {(run[0], *part, n) for run, n in places.items() for part in (run[1:-1], run[2:])}
+    want = {(run[0], len(run) - 1, " / ".join(run[1:]), len(docs[run])) for run, n in places.items() if len(docs[run]) >= 6 and (*run, n) not in longer}
+    d = table(spark, rows)
+    assert {tuple(x) for x in site_lines.frequent_sequences(d).collect()} == want and len(want) > 8
+    assert {(x.doc_id, x.line_no) for x in site_lines.repeated_lines(d).collect()} == want_rows
+
+
+def test_long_notices(spark):
+    """300 documents with a notice of 80 lines, one of which each document leaves out or not."""
+    lines = [f"linha comum do sítio, parte {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)]
+    r = random.Random(5)
+    whole = [(i, "\n".join(lines), "pt", "a") for i in range(300)]
+    d = table(spark, whole)
+    assert [(x.length, x.support) for x in site_lines.frequent_sequences(d).collect()] == [(80, 300)]
+    short = lines[:20]
+    cut = [(i, "\n".join(x for k, x in enumerate(short) if k != out), "pt", "a") for i in range(300) for out in [r.randrange(40)]]
+    got = {(x.doc_id, x.line_no) for x in site_lines.repeated_lines(table(spark, cut)).collect()}
+    assert got == {(i, n) for i, text, _, _ in cut for n in range(1, text.count("\n") + 2)}
 
 
 PAGE = """o livro que foi de casa para a pon-
