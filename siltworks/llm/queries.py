@@ -12,6 +12,7 @@ from siltworks.llm import bpe_stream, mixing, near_duplicates, packing, scanned_
 from siltworks.operators import metrics
 from siltworks.storage import load
 
+RATIOS = {"pt": 2.0, "es": 2.0, "hi": 1.0}
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -52,8 +53,9 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: mixing.unreachable(*_mix(s, d)),
         "p1_shares": lambda s, d: mixing.plan_shares(*_mix(s, d)),
-        "p1_shards": lambda s, d: mixing.plan_blocks(*_mix(s, d)).select("mix_id", "lang", "blocks", "shard_blocks"),
-        "p1_records": lambda s, d: mixing.mix_records(_docs(s, d, "lang"), {"pt": 2.0, "es": 2.0, "hi": 1.0}),
+        "p1_shards": lambda s, d: mixing.plan_blocks(*_mix(s, d)).select("mix_id", "lang", "blocks", "shard_unplaced", "used_blocks", "shard_blocks"),
+        "p1_records": lambda s, d: mixing.mix_records(_docs(s, d, "lang"), RATIOS),
+        "p1_record_shares": lambda s, d: mixing.mixed_shares(mixing.mix_records(_docs(s, d, "lang"), RATIOS), RATIOS),
         "p2_found": lambda s, d: text_quality.page_kinds(_docs(s, d), load(s, d, "word_counts")).where("n_words >= 5 AND kind <> 'prose'").select("doc_id").distinct(),
         "p2_statistics": p2_statistics,
         "p2_kinds": lambda s, d: text_quality.page_kinds(_docs(s, d), load(s, d, "word_counts")),

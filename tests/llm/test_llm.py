@@ -53,6 +53,7 @@ OPERATORS = {
     "repaired": lambda s, d: scanned_pages.repaired(d, words_table(s)),
     "kinds": lambda s, d: text_quality.page_kinds(d, words_table(s)),
     "mixture": lambda s, d: mixing.mix_records(d, {"pt": 1.0, "hi": 1.0}),
+    "mixed shares": lambda s, d: mixing.mixed_shares(mixing.mix_records(d, {"pt": 1.0, "hi": 1.0}), {"pt": 1.0, "hi": 1.0}),
 }
 
 
@@ -84,6 +85,29 @@ def test_split_quotas_exact():
         assert (m == mixing.split_quotas(q, shards, 7)).all()
 
 
+def test_split_of_any_number_of_blocks():
+    """10^11 and more blocks; and small draws against numpy's own."""
+    for total in (10**9, 10**11, 3 * 10**12):
+        q = np.array([total // 2, total // 3, total - total // 2 - total // 3 - 5, 5])
+        m = mixing.split_quotas(q, 8, 3)
+        assert m.sum(axis=0).tolist() == q.tolist() and m.sum(axis=1).max() - m.sum(axis=1).min() <= 1
+        # each shard's part is within six standard deviations of its share
+        assert (np.abs(m - q / 8) <= 6 * np.sqrt(q / 8) + 5).all() and m.std(axis=0)[0] > 0
+    mine, theirs = np.random.default_rng(1), np.random.default_rng(2)
+    for good, bad, n in ((5, 7, 4), (300, 20, 100), (3, 900, 450), (1000, 1000, 1)):
+        x = np.array([mixing.hypergeometric(mine, good, bad, n) for _ in range(4000)])
+        y = theirs.hypergeometric(good, bad, n, 4000)
+        assert x.min() >= max(0, n - bad) and x.max() <= min(good, n)
+        assert abs(x.mean() - y.mean()) < 0.1 * (y.std() + 0.1) and abs(x.std() - y.std()) < 0.1 * (y.std() + 0.1)
+
+
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=6), st.integers(0, 60), st.integers(1, 9), st.integers(0, 8))
+def test_unplaced_is_what_the_supply_lacks(blocks, supply, block, short):
+    wanted = max(0, sum(blocks) * block - min(short, block - 1)) if sum(blocks) else 0
+    missing = mixing.unplaced(np.array(blocks), wanted, supply, block)
+    assert missing.sum() == max(0, wanted - supply) and (missing >= 0).all() and (missing <= np.array(blocks) * block).all()
+
+
 @given(st.integers(1, 3000), st.integers(0, 99))
 @settings(max_examples=30, deadline=None)
 def test_permuted_is_bijection(n, seed):
@@ -100,7 +124,9 @@ def test_mix_plans(spark):
     assert set(rows) == {(1, "pt"), (1, "es"), (2, "pt")}
     assert (rows[1, "pt"].used_chars, rows[1, "pt"].short, rows[1, "pt"].uses) == (200, False, 2.0)
     assert (rows[1, "es"].used_chars, rows[1, "es"].short) == (0, True)
-    assert sum(rows[1, "pt"].shard_blocks) == rows[1, "pt"].blocks == 20
+    assert sum(rows[1, "pt"].shard_blocks) == rows[1, "pt"].used_blocks == 20 and rows[1, "es"].blocks == 20
+    assert sum(rows[1, "es"].shard_unplaced) == 200 and not any(rows[1, "pt"].shard_unplaced) and not sum(rows[1, "es"].shard_blocks)
+    assert len(mixing.plan_blocks(plans, stats, mixing.Mixing(shards=1, shard_chars=7)).where("mix_id = 1").first().shard_blocks) == 58
     assert [tuple(r) for r in mixing.unreachable(plans, stats).collect()] == [(1, "es")]
 
 
@@ -112,6 +138,10 @@ def test_mix_records_shares(spark):
     by = {lang: sum(r.lang == lang for r in out) for lang in ("pt", "hi")}
     assert abs(by["hi"] - 400) <= 40 and abs(by["pt"] - 400) <= 40
     assert {r.shard for r in out} == set(range(8))
+    shares = {(r.lang, r.shard): r for r in mixing.mixed_shares(mixing.mix_records(table(spark, rows), {"pt": 1.0, "hi": 1.0}, max_repeats=2), {"pt": 1.0, "hi": 1.0}).collect()}
+    assert len(shares) == 18 and all(r.wanted_share == 0.5 for r in shares.values()) and abs(shares["hi", None].share - 0.5) < 0.05
+    assert all(abs(shares["hi", k].share + shares["pt", k].share - 1) < 1e-6 for k in [None, *range(8)])
+    assert shares["pt", 3].chars == sum(len(rows[r.doc_id][1]) for r in out if r.lang == "pt" and r.shard == 3)
 
 
 def sets(text):
