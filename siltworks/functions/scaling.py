@@ -51,10 +51,10 @@ def duration(seconds: Column) -> Column:
 
 
 def budget_text(flops: Column, params: Column, layers: Column, heads: Column, width: Column, batch: int, block: int) -> Column:
-    """One line that describes a budget."""
+    """One line that describes a budget and what it buys."""
     return F.format_string(
-        f"%.3e FLOPs budget for n_layer=%d, n_head=%d, n_embd=%d (%,d total params): D=%,d tokens -> max_iters=%,d (batch_size={batch} x block_size={block})",
-        flops, layers, heads, width, params, tokens_for_budget(flops, params), iters_for_budget(flops, params, batch, block),
+        f"%.3e FLOPs: width %d, %d layers, %d heads, %,d parameters; %,d tokens in %,d steps of {batch} x {block}",
+        flops, width, layers, heads, params, tokens_for_budget(flops, params), iters_for_budget(flops, params, batch, block),
     )
 
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.split() and the regular expression \s of Python take it; Java's \s has fewer, even with (?U).
 SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Fixed value: the split pattern that byte-level vocabularies are published with, in the spelling of Perl.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as Unicode defines it, which is what that pattern means; Python's str.split() takes \x1c to \x1f too.
+UNICODE_SPACE = SPACE_CLASS.replace(r"\x1c-\x20", r"\x20")
 #: Other codes that the sources use for the languages.
 LANGUAGE_CODES = {"por_latn": "pt", "spa_latn": "es", "hin_deva": "hi"}
 LANGUAGES = ("pt", "es", "hi")
@@ -51,6 +55,6 @@ def shingles(text: Column, n: int = 5) -> Column:
 
 
 def byte_pieces(text: Column) -> Column:
-    """The pieces a byte-level tokenizer merges within, by the published split pattern."""
-    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    """The pieces a byte-level tokenizer merges within, by the published split pattern; Java's \\s has ASCII characters only."""
+    pattern = SPLIT.replace(r"[^\s", f"[^{UNICODE_SPACE}").replace(r"\S", f"[^{UNICODE_SPACE}]").replace(r"\s", f"[{UNICODE_SPACE}]")
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

@@ -37,7 +37,8 @@ def fill_buckets(docs: DataFrame, caps: dict[str, int], by: str = "lang", order:
         return df[[by, order]].assign(bucket=chosen)
 
     kept = near.groupBy(by).applyInPandas(fold, f"{by} string, {order} long, bucket string")
-    return docs.select(by, order).join(kept.select(order, "bucket"), order, "left").select(by, order, "bucket")
+    kept = kept.select(F.col(by).alias("_by"), F.col(order).alias("_order"), "bucket")
+    return docs.select(by, order).join(kept, F.col(by).eqNullSafe(F.col("_by")) & (F.col(order) == F.col("_order")), "left").select(by, order, "bucket")
 
 
 def oversample(docs: DataFrame, ratios: dict[str, float], target_bytes: float | None = None, by: str = "lang", order: str = "doc_id") -> DataFrame:

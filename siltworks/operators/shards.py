@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltworks.storage import settle
+
 
 def portable_hash(*parts: Column) -> Column:
     """28 bits of the md5 of the parts joined by ':', as any engine can compute it."""
@@ -22,10 +24,29 @@ def assign_shards(df: DataFrame, key: str, shards: int | Column, seed: int = 42)
     return df.withColumn("shard", F.pmod(portable_hash(F.lit(seed), F.col(key)), n).cast("int")).withColumn("place", F.md5(F.concat_ws(":", F.lit(seed + 1).cast("string"), F.col(key).cast("string"))))
 
 
-def write_shards(df: DataFrame, path: str, shards: int, by: list[str] | None = None) -> None:
-    """One file for each shard with rows, shuffled within, under by=.../shard=...; what Spark commits is complete or absent."""
-    keys = [*(by or []), "shard"]
-    (df.repartition(shards, *keys).sortWithinPartitions(*keys, "place").drop("place").write.option("parquet.enable.dictionary", "false").partitionBy(*keys).mode("overwrite").parquet(path))
+def numbered_shards(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., shard, task, number, of) of the shards of df that have rows: task counts all of them from 0, number those of one `by`, without
+    gaps, and of is how many that has. Few rows, one for each shard."""
+    keys = by or []
+    w = Window.partitionBy(*keys)
+    some = df.select(*keys, "shard").distinct()
+    return some.select(
+        *keys, "shard", (F.row_number().over(Window.orderBy(*keys, "shard")) - 1).alias("task"), (F.row_number().over(w.orderBy("shard")) - 1).alias("number"), F.count(F.lit(1)).over(w).alias("of")
+    )
+
+
+def write_shards(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """One file for each shard with rows, shuffled within, under by=.../part=00003-of-00012, numbered without gaps. Each shard is a task of
+    its own, none waits for another. What Spark commits is complete or absent."""
+    keys = by or []
+    names = settle(numbered_shards(df, by))
+    n = max(1, names.count())
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "shard"]]
+    named = df.join(F.broadcast(names.select(*[F.col(k).alias(f"_{k}") for k in [*keys, "shard"]], "task", F.format_string("%05d-of-%05d", "number", "of").alias("part"))), on) if n <= 1_000_000 else None
+    if named is None:
+        raise ValueError("more than a million shards")
+    rows = named.repartitionById(n, F.col("task").cast("int")).sortWithinPartitions("place").select(*keys, "part", *[c for c in df.columns if c not in (*keys, "shard", "place")])
+    rows.write.option("parquet.enable.dictionary", "false").partitionBy(*keys, "part").mode("overwrite").parquet(path)
 
 
 def is_complete(spark, path: str) -> bool:

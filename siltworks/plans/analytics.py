@@ -73,8 +73,10 @@ def vocab_sizes(s: SparkSession, d: str) -> DataFrame:
 def sweep_report(s: SparkSession, d: str) -> DataFrame:
     """Lines of the report's table, in order of sample, size and language."""
     t = sweep(s, d).where(~F.isnan("fertility") & F.col("fertility").isNotNull())
-    line = F.format_string("| %s | %s | %.3f | %.3f |", sc.vocab_label(F.col("vocab_size")), F.col("lang"), F.bround("fertility", 3), F.bround("compression_ratio", 3))
-    return t.select("sample_id", "vocab_size", "lang", line.alias("line"))
+    # format_number rounds the number itself, format_string its shortest decimal form
+    number = lambda c: F.replace(F.format_number(c, 3), F.lit(","), F.lit(""))
+    line = F.format_string("| %s | %s | %s | %s |", sc.vocab_label(F.col("vocab_size")), F.col("lang"), number("fertility"), number("compression_ratio"))
+    return t.select("sample_id", "vocab_size", "lang", line.alias("line")).orderBy("sample_id", "vocab_size", "lang")
 
 
 def baseline_ranks(s: SparkSession, d: str) -> DataFrame:
@@ -105,9 +107,9 @@ def param_counts(s: SparkSession, d: str) -> DataFrame:
     return runs(s, d).select("width").distinct().select("width", sc.num_params(F.col("width"), n, VOCAB, BLOCK).alias("params"), sc.non_embedding_params(F.col("width"), n).alias("non_embedding"))
 
 
-def grid(s: SparkSession) -> DataFrame:
-    """Budgets by widths, those whose number of steps lies in the window; both are short fixed lists."""
-    b = s.createDataFrame([(x,) for x in sc.BUDGETS], "flops_budget double")
+def grid(s: SparkSession, budgets: DataFrame | None = None) -> DataFrame:
+    """Budgets by widths, those whose number of steps lies in the window; the widths are a short fixed list, the budgets another, or given."""
+    b = s.createDataFrame([(x,) for x in sc.BUDGETS], "flops_budget double") if budgets is None else budgets.select("flops_budget").distinct()
     w = s.createDataFrame([(x,) for x in sc.WIDTHS], "width int").withColumn("n_params", sc.num_params(F.col("width"), sc.layers_for_width(F.col("width")), VOCAB, BLOCK))
     t = b.crossJoin(F.broadcast(w)).withColumn("max_iters", sc.iters_for_budget(F.col("flops_budget"), F.col("n_params"), BATCH, BLOCK))
     return t.where(F.col("max_iters").between(sc.MIN_ITERS, sc.MAX_ITERS))
@@ -118,15 +120,16 @@ def isoflop_grid(s: SparkSession, d: str) -> DataFrame:
 
 
 def isoflop_pending(s: SparkSession, d: str) -> DataFrame:
-    """Cells of the grid, for the seeds that the runs have, that no run has finished."""
+    """Cells of the grid of the runs' budgets, for the seeds that the budget's runs have, that no run has finished."""
     done = runs(s, d)
-    cells = grid(s).select("flops_budget", "width").crossJoin(done.select("seed").distinct())
+    cells = done.select("flops_budget", "seed").distinct().join(grid(s, done).select("flops_budget", "width"), "flops_budget")
     return cells.join(done.select("flops_budget", "width", "seed").distinct(), ["flops_budget", "width", "seed"], "left_anti")
 
 
 def isoflop_elapsed(s: SparkSession, d: str) -> DataFrame:
-    """Time of all runs of each budget."""
-    t = runs(s, d).groupBy("flops_budget").agg(F.count(F.lit(1)).alias("runs"), F.round(F.sum("elapsed_s"), 3).alias("seconds"))
+    """Time of all runs of each budget whose cells are in the grid of the runs' budgets."""
+    t = runs(s, d)
+    t = t.join(grid(s, t).select("flops_budget", "width"), ["flops_budget", "width"], "left_semi").groupBy("flops_budget").agg(F.count(F.lit(1)).alias("runs"), F.round(F.sum("elapsed_s"), 3).alias("seconds"))
     return t.select("flops_budget", "runs", "seconds", sc.duration(F.col("seconds")).alias("duration"))
 
 
@@ -218,11 +221,18 @@ def exponent_agreement(s: SparkSession, d: str) -> DataFrame:
 
 
 def recommendation(s: SparkSession, d: str) -> DataFrame:
-    """Size, tokens, loss and shape for the final budget, by the laws of the validation loss; as a table and as JSON."""
+    """Size, tokens, loss and shape for the final budget, by the laws of the validation loss; as a table and as JSON. The shape is that of the
+    multiple of 64 whose model is nearest in size."""
     p, _ = _laws(s, d)
     v = p.where("loss = 'val' AND points >= 2").groupBy().pivot("what", ["n", "d", "l"]).agg(F.max(F.col("coefficient") * F.pow(F.lit(FINAL_BUDGET), F.col("exponent"))))
     r = v.select(F.round(F.ln("n"), 4).alias("ln_n"), F.round(F.ln("d"), 4).alias("ln_d"), F.round(sc.json_number(F.col("l")), 4).alias("l"))
-    return r.select("*", F.to_json(F.struct("ln_n", "ln_d", "l")).alias("json"))
+    # a model has more than 12 * width^2 parameters, so that no wider one is nearer
+    w = F.explode(F.sequence(F.lit(64), (F.greatest(F.lit(128), F.floor(F.sqrt(F.exp("ln_n") / 12) / 64) * 64 + 64)).cast("int"), F.lit(64)))
+    sized = r.select("*", w.alias("n_embd")).withColumn("n_layer", sc.layers_for_width(F.col("n_embd")))
+    off = F.abs(sc.num_params(F.col("n_embd"), F.col("n_layer"), VOCAB, BLOCK) - F.exp("ln_n"))
+    best = sized.groupBy("ln_n", "ln_d", "l").agg(F.min_by("n_embd", F.struct(off, "n_embd")).alias("n_embd"))
+    best = best.withColumn("n_layer", sc.layers_for_width(F.col("n_embd"))).withColumn("n_head", sc.heads_for_width(F.col("n_embd")))
+    return best.select("ln_n", "ln_d", "l", "n_layer", "n_head", "n_embd", F.to_json(F.struct("ln_n", "ln_d", "l", "n_layer", "n_head", "n_embd")).alias("json"))
 
 
 def history(s: SparkSession, d: str) -> DataFrame:
@@ -266,6 +276,7 @@ _GRID = f"""b AS (SELECT unnest([{', '.join(f'{x!r}::DOUBLE' for x in sc.BUDGETS
   p AS (SELECT width, {_PARAMS.format(w='width')} AS n_params FROM ws),
   g AS (SELECT *, greatest(1, round_even(round_even(flops_budget / (6 * n_params), 0) / {BATCH * BLOCK}, 0))::BIGINT AS max_iters FROM b, p),
   grid AS (SELECT * FROM g WHERE max_iters BETWEEN {sc.MIN_ITERS} AND {sc.MAX_ITERS})"""
+_OWN_GRID = "b AS (SELECT DISTINCT flops_budget FROM isoflop_results), " + _GRID.partition(", ws AS")[1][2:] + _GRID.partition(", ws AS")[2]
 _CELLS = f"""{_RUNS}, n AS (SELECT *, CASE WHEN isnan(final_val_loss) THEN NULL ELSE final_val_loss END AS v, CASE WHEN isnan(final_train_loss) THEN NULL ELSE final_train_loss END AS t FROM r),
   c AS (SELECT flops_budget, width, count(*) AS runs, avg(v) AS val_loss, avg(t) AS train_loss, coalesce(stddev_samp(v), 0) AS val_std,
     arg_min(n_params, seed::BIGINT * 1000000000 + run_id) AS n_params, arg_min(n_params_non_embedding, seed::BIGINT * 1000000000 + run_id) AS non_embedding FROM n GROUP BY ALL)"""
@@ -290,7 +301,12 @@ QUERIES = {
         t AS (SELECT lang, w, b, 'whitespace' AS tokenizer, w AS t FROM c UNION ALL SELECT lang, w, b, 'characters', n FROM c UNION ALL SELECT lang, w, b, 'bytes', b FROM c)
         SELECT tokenizer, coalesce(lang, 'overall') AS lang, sum(t)::BIGINT AS tokens, round(sum(t) / sum(w), 6) AS fertility, round(sum(b) / sum(t), 6) AS compression_ratio
         FROM t GROUP BY GROUPING SETS ((tokenizer, lang), (tokenizer))"""),
-    "knee_vocab": (knee_vocab, None),
+    "knee_vocab": (knee_vocab, f"""WITH {_OVERALL}, k AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER s AS n, min(r) OVER s AS lo, max(r) OVER s AS hi FROM o WINDOW s AS (PARTITION BY sample_id), w AS (PARTITION BY sample_id ORDER BY vocab_size)),
+        e AS (SELECT *, CASE WHEN n > 1 AND hi > lo THEN (r - lo) / (hi - lo) - i / (n - 1) END AS d FROM k),
+        z AS (SELECT *, coalesce(d >= lag(d) OVER w AND d >= lead(d) OVER w AND d > 1e-9, false) AS peak, d - 1 / (n - 1) AS t FROM e WINDOW w AS (PARTITION BY sample_id ORDER BY i)),
+        f AS (SELECT p.sample_id, min(p.i) AS i FROM z p JOIN z q ON q.sample_id = p.sample_id AND q.i > p.i AND q.d < p.t AND p.peak
+          WHERE NOT EXISTS (SELECT 1 FROM z x WHERE x.sample_id = p.sample_id AND x.peak AND x.i > p.i AND x.i < q.i) GROUP BY p.sample_id)
+        SELECT z.sample_id, max(z.n) AS candidates, coalesce(max(vocab_size) FILTER (z.i = f.i), max(vocab_size) FILTER (z.i = n // 2)) AS chosen, max(f.i) IS NOT NULL AS knee FROM z LEFT JOIN f USING (sample_id) GROUP BY z.sample_id"""),
     "marginal_gain": (marginal_gain, f"WITH {_OVERALL} SELECT sample_id, vocab_size, round(100 * (r - lag(r) OVER w) / lag(r) OVER w, 6) AS gain FROM o WINDOW w AS (PARTITION BY sample_id ORDER BY vocab_size)"),
     "embedding_share": (embedding_share, f"""WITH {_SWEEP} SELECT DISTINCT vocab_size, round(vocab_size * {HIDDEN}.0 / {PARAMS}, 9) AS share,
         regexp_replace(regexp_replace(format('{{:.1f}}', round_even(vocab_size / 1000.0, 1)), '0$', ''), '\\.$', '') || 'k' AS label FROM v"""),
@@ -299,7 +315,8 @@ QUERIES = {
     "vocab_pivot": (vocab_pivot, f"""WITH {_SWEEP} SELECT sample_id, vocab_size, max(compression_ratio) FILTER (lang = 'es') AS es, max(compression_ratio) FILTER (lang = 'hi') AS hi,
         max(compression_ratio) FILTER (lang = 'overall') AS overall, max(compression_ratio) FILTER (lang = 'pt') AS pt FROM v GROUP BY ALL"""),
     "vocab_sizes": (vocab_sizes, f"WITH {_SWEEP} SELECT vocab_size, count(DISTINCT sample_id) AS samples, count(*) FILTER (isnan(fertility)) AS unknown_fertility FROM v GROUP BY vocab_size"),
-    "sweep_report": (sweep_report, None),
+    "sweep_report": (sweep_report, f"""WITH {_SWEEP} SELECT sample_id, vocab_size, lang, '| ' || regexp_replace(regexp_replace(format('{{:.1f}}', round_even(vocab_size / 1000.0, 1)), '0$', ''), '\\.$', '') || 'k | ' || lang || ' | ' ||
+        format('{{:.3f}}', fertility) || ' | ' || format('{{:.3f}}', compression_ratio) || ' |' AS line FROM v WHERE isfinite(fertility)"""),
     "baseline_ranks": (baseline_ranks, """WITH b AS (SELECT DISTINCT * FROM baseline_comparison) SELECT sample_id, lang, tokenizer, row_number() OVER (PARTITION BY sample_id, lang ORDER BY compression_ratio, tokenizer)::INT AS rank,
         round(max(CASE WHEN repo_id IS NULL THEN compression_ratio END) OVER (PARTITION BY sample_id, lang) / compression_ratio, 6) AS ours_to_this FROM b"""),
     "sample_sizes": (sample_sizes, """WITH t AS (SELECT DISTINCT * FROM sample_stats) SELECT sample_id, count(*) AS measurements, max(measured_at AT TIME ZONE 'UTC')::DATE AS last_day, sum(heldout_docs)::BIGINT AS heldout_docs FROM t GROUP BY sample_id"""),
@@ -307,11 +324,13 @@ QUERIES = {
         SELECT width, n_layer::INT AS n_layer, arg_min(h, abs(width / h::DOUBLE - 64) * 1000000 - h)::INT AS n_head FROM h WHERE width % h = 0 GROUP BY ALL"""),
     "param_counts": (param_counts, f"WITH {_SHAPES} SELECT width, {_PARAMS.format(w='width')} AS params, n_layer * (12::BIGINT * width * width + 13 * width) + 2 * width AS non_embedding FROM w"),
     "isoflop_grid": (isoflop_grid, f"WITH {_GRID} SELECT flops_budget, width, n_params, max_iters FROM grid"),
-    "isoflop_pending": (isoflop_pending, f"""WITH {_GRID}, s AS (SELECT DISTINCT seed FROM isoflop_results)
-        SELECT flops_budget, width, seed FROM grid, s EXCEPT SELECT flops_budget, width, seed FROM isoflop_results"""),
-    "isoflop_elapsed": (isoflop_elapsed, f"""WITH {_RUNS}, t AS (SELECT flops_budget, count(*) AS runs, round(sum(elapsed_s), 3) AS seconds FROM r GROUP BY ALL), i AS (SELECT *, floor(seconds)::BIGINT AS s FROM t)
+    "isoflop_pending": (isoflop_pending, f"""WITH {_OWN_GRID}, s AS (SELECT DISTINCT flops_budget, seed FROM isoflop_results)
+        SELECT flops_budget, width, seed FROM grid JOIN s USING (flops_budget) EXCEPT SELECT flops_budget, width, seed FROM isoflop_results"""),
+    "isoflop_elapsed": (isoflop_elapsed, f"""WITH {_RUNS}, {_OWN_GRID}, t AS (SELECT flops_budget, count(*) AS runs, round(sum(elapsed_s), 3) AS seconds FROM r SEMI JOIN grid USING (flops_budget, width) GROUP BY ALL), i AS (SELECT *, floor(seconds)::BIGINT AS s FROM t)
         SELECT flops_budget, runs, seconds, CASE WHEN s >= 3600 THEN printf('%dh%02dm%02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS duration FROM i"""),
-    "budget_text": (budget_text, None),
+    "budget_text": (budget_text, f"""WITH {_RUNS}, t AS (SELECT *, round_even(flops_budget / (6 * n_params), 0)::BIGINT AS d FROM r)
+        SELECT run_id, format('{{:.3e}} FLOPs: width {{}}, {{}} layers, {{}} heads, {{:,}} parameters; {{:,}} tokens in {{:,}} steps of {BATCH} x {BLOCK}', flops_budget, n_embd, n_layer, n_head, n_params, d,
+          greatest(1, round_even(d / {BATCH * BLOCK}, 0))::BIGINT) AS line, d FROM t"""),
     "flops_per_second": (flops_per_second, f"WITH {_RUNS} SELECT run_id, round(CASE WHEN elapsed_s > 0 THEN 6 * n_params::DOUBLE * tokens / elapsed_s END, 0) AS flops_per_second FROM r"),
     "nearest_width": (nearest_width, f"""WITH {_RUNS}, w AS (SELECT unnest(range(64, 8193, 64)) AS w), p AS (SELECT w, {_PARAMS.format(w='w')} AS p FROM w), t AS (SELECT DISTINCT n_params FROM r)
         SELECT n_params, w::INT AS width FROM t, p QUALIFY row_number() OVER (PARTITION BY n_params ORDER BY abs(p - n_params), w) = 1"""),
@@ -324,7 +343,11 @@ QUERIES = {
     "jackknife_se": (jackknife_se, f"WITH {_FITS} SELECT loss, what, points, round(se, 6) AS se FROM jk"),
     "exponent_agreement": (exponent_agreement, f"""WITH {_FITS}, p AS (SELECT what, abs(max(e) FILTER (loss = 'val') - max(e) FILTER (loss = 'train')) AS gap, sqrt(sum(se * se)) AS se FROM law JOIN jk USING (loss, what) GROUP BY what)
         SELECT what, round(gap, 5) AS gap, round(CASE WHEN isfinite(se) THEN se END, 5) AS se, CASE WHEN isnan(se) THEN NULL WHEN se > 0 THEN gap / se <= 2 ELSE gap <= 0 END AS agree FROM p"""),
-    "recommendation": (recommendation, None),
+    "recommendation": (recommendation, f"""WITH {_FITS}, b AS (SELECT what, round(lc + e * ln({FINAL_BUDGET!r}::DOUBLE), 4) AS ln_v, round(exp(lc + e * ln({FINAL_BUDGET!r}::DOUBLE)), 4) AS v FROM law WHERE loss = 'val' AND points >= 2),
+        one AS (SELECT max(ln_v) FILTER (what = 'n') AS ln_n, max(ln_v) FILTER (what = 'd') AS ln_d, max(v) FILTER (what = 'l') AS l FROM b),
+        w AS (SELECT unnest(range(64, 32769, 64)) AS w), nearest AS (SELECT w FROM w, one ORDER BY abs({_PARAMS.format(w='w')} - exp(ln_n)), w LIMIT 1),
+        s AS (SELECT w::INT AS n_embd, {_LAYERS.format(w='w')}::INT AS n_layer, (SELECT arg_min(h, abs(w / h::DOUBLE - 64) * 1000000 - h) FROM unnest(range(1, w + 1)) AS r(h) WHERE w % h = 0)::INT AS n_head FROM nearest)
+        SELECT ln_n, ln_d, l, n_layer, n_head, n_embd, '{{"ln_n":' || ln_n || ',"ln_d":' || ln_d || ',"l":' || l || ',"n_layer":' || n_layer || ',"n_head":' || n_head || ',"n_embd":' || n_embd || '}}' AS json FROM one, s"""),
     "best_val_so_far": (best_val_so_far, f"""WITH {_HISTORY}, v AS (SELECT run_id, iter, val_loss AS l FROM h WHERE val_loss IS NOT NULL AND NOT isnan(val_loss)),
         b AS (SELECT run_id, iter, min(l) OVER (PARTITION BY run_id ORDER BY iter) AS best FROM v) SELECT *, round(exp(best), 6) AS perplexity FROM b"""),
     "eval_loss_mean": (eval_loss_mean, f"""WITH {_HISTORY} SELECT run_id, count(*) AS evaluations, round(sum(CASE WHEN NOT isnan(train_loss) THEN train_loss::DECIMAL(18, 6) END)::DOUBLE / nullif(count(CASE WHEN NOT isnan(train_loss) THEN train_loss END), 0), 6) AS train_loss,

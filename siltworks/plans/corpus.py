@@ -114,9 +114,13 @@ def bucket_stats(s: SparkSession, d: str) -> DataFrame:
 
 
 def bucket_disjointness(s: SparkSession, d: str) -> DataFrame:
-    b = sampling.fill_buckets(filled(s, d).drop("text"), CAPS)
-    both = b.where("bucket = 'train'").select("doc_id").intersect(b.where("bucket = 'heldout'").select("doc_id"))
-    return both.agg(F.count(F.lit(1)).alias("in_both"))
+    """Records that two samples have in common: none for the two buckets of one draw; for a bucket and a split drawn by itself, some."""
+    t = filled(s, d).drop("text")
+    b = settle(sampling.fill_buckets(t, CAPS))
+    samples = {k: b.where(F.col("bucket") == k).select("doc_id") for k in CAPS}
+    samples["val"] = shards.split_by_record(t, "doc_id", 0.05, SEED).where("split = 'val'").select("doc_id")
+    common = [samples[x].intersect(samples[y]).agg(F.count(F.lit(1)).alias("in_both")).select(F.lit(x).alias("a"), F.lit(y).alias("b"), "in_both") for x, y in (("train", "heldout"), ("train", "val"), ("heldout", "val"))]
+    return readers.chain(common)
 
 
 def lang_ratio_parse(s: SparkSession, d: str) -> DataFrame:
@@ -185,6 +189,14 @@ def pack_segments(s: SparkSession, d: str) -> DataFrame:
     return windows.window_segments(_placed(s, d), ["lang"], BLOCK)
 
 
+def pack_windows(s: SparkSession, d: str) -> DataFrame:
+    """Whole windows of code points as token ids, with their targets, by digests; 0 ends a document."""
+    t = filled(s, d).select("lang", "doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("ids"))
+    w = windows.shifted_windows(t, ["lang"], BLOCK, EOS)
+    digest = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
+    return w.select("lang", "window", digest("x").alias("x"), digest("y").alias("y"))
+
+
 def causal_pairs(s: SparkSession, d: str) -> DataFrame:
     return windows.causal_pairs(windows.window_segments(_placed(s, d), ["lang"], BLOCK), ["lang"])
 
@@ -209,6 +221,9 @@ def dataset_card(s: SparkSession, d: str) -> DataFrame:
     return t.select("lang", F.format_string("| `%s` | %,d |", "lang", "n").alias("line"))
 
 
+# Unicode's white space, as functions.text.UNICODE_SPACE. What the pattern's look-ahead does is done before: the last blank of a run that a word
+# follows is set apart by a character that no text has.
+_SPACE = WHITE[1:-2].replace(r"\x1c-\x20", r"\x20")
 _SPLIT = f"""{DOCS}, f AS (SELECT *, strlen(text) AS bytes FROM d WHERE text <> '' AND lang IS NOT NULL)"""
 _HASH = "('0x' || substr(md5('{seed}:' || doc_id), 1, 7))::BIGINT"
 _AB = "[" + ", ".join(f"[{a}, {b}]" for a, b in dedup.MinhashConfig().coefficients()) + "]"
@@ -259,7 +274,11 @@ QUERIES = {
     "nonempty_limit_semantics": (nonempty_limit_semantics, """WITH f AS (SELECT source, doc_id, CASE WHEN coalesce(text, '') <> '' THEN 1 ELSE 0 END AS full_, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
         g AS (SELECT *, sum(full_) OVER (PARTITION BY source ORDER BY doc_id) - full_ AS j FROM f)
         SELECT source, sum(CASE WHEN i <= 200 THEN full_ END)::BIGINT AS read_then_filter, sum(CASE WHEN j < 200 THEN full_ END)::BIGINT AS filter_then_read FROM g GROUP BY source"""),
-    "metadata_struct": (metadata_struct, None),
+    "metadata_struct": (metadata_struct, """WITH f AS (SELECT doc_id, metadata, [CASE WHEN source IS NOT NULL THEN '"source":' || to_json(source) END, CASE WHEN n_chars IS NOT NULL THEN '"n_chars":' || n_chars END,
+          CASE WHEN source_id IS NOT NULL THEN '"source_id":' || to_json(source_id) END, CASE WHEN site IS NOT NULL THEN '"site":' || to_json(site) END, CASE WHEN url IS NOT NULL THEN '"url":' || to_json(url) END,
+          CASE WHEN metadata IS NOT NULL THEN '"metadata":' || to_json(metadata) END, CASE WHEN crawled_at IS NOT NULL THEN '"crawled_at":"' || strftime(crawled_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ"') END,
+          CASE WHEN ingested_at IS NOT NULL THEN '"ingested_at":"' || strftime(ingested_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ"') END] AS l FROM documents)
+        SELECT doc_id, '{' || array_to_string(list_filter(l, lambda x: x IS NOT NULL), ',') || '}' AS folded, coalesce(json_valid(metadata), false) AS valid_json FROM f"""),
     "dedup_shingles": (dedup_shingles, f"""WITH {DOCS}, w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{WHITE}'), lambda x: x <> '') AS w FROM d WHERE text IS NOT NULL),
         s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) ELSE [] END AS sh FROM w)
         SELECT doc_id, len(sh)::INT AS shingles, md5(coalesce(list_min(sh), '')) AS least FROM s"""),
@@ -276,7 +295,10 @@ QUERIES = {
     "bucket_stats": (bucket_stats, f"""WITH RECURSIVE {_BUCKETS} SELECT p.lang, count(*) FILTER (bucket = 'train') AS train_docs, coalesce(sum(length(text)) FILTER (bucket = 'train'), 0)::BIGINT AS train_chars,
         count(*) FILTER (bucket = 'heldout') AS heldout_docs, coalesce(sum(length(text)) FILTER (bucket = 'heldout'), 0)::BIGINT AS heldout_chars
         FROM picked p JOIN f USING (doc_id) WHERE bucket IS NOT NULL GROUP BY p.lang"""),
-    "bucket_disjointness": (bucket_disjointness, "SELECT 0::BIGINT AS in_both"),
+    "bucket_disjointness": (bucket_disjointness, f"""WITH RECURSIVE {_BUCKETS}, {_VAL.removeprefix(_SPLIT + ',')},
+        m AS (SELECT bucket AS k, doc_id FROM picked WHERE bucket IS NOT NULL UNION ALL SELECT 'val', doc_id FROM v WHERE split = 'val'),
+        p(a, b) AS (VALUES ('train', 'heldout'), ('train', 'val'), ('heldout', 'val'))
+        SELECT a, b, (SELECT count(*) FROM (SELECT doc_id FROM m WHERE k = a INTERSECT SELECT doc_id FROM m WHERE k = b)) AS in_both FROM p"""),
     "lang_ratio_parse": (lang_ratio_parse, """WITH e AS (SELECT mix_id, unnest(string_split(lang_ratios, ',')) AS e, generate_subscripts(string_split(lang_ratios, ','), 1) AS i FROM mix_plans),
         l AS (SELECT mix_id, trim(split_part(e, ':', 1)) AS lang, arg_max(try_cast(trim(split_part(e, ':', 2)) AS DECIMAL(24, 9)), i) AS weight FROM e GROUP BY ALL)
         SELECT mix_id, lang, weight::DOUBLE AS weight, round(weight::DOUBLE / nullif((sum(weight) OVER (PARTITION BY mix_id))::DOUBLE, 0), 9) AS share FROM l WHERE lang IN ('pt', 'es', 'hi')"""),
@@ -288,9 +310,15 @@ QUERIES = {
     "val_split_shards": (val_split_shards, f"""WITH {_SHARDS}, k AS (SELECT DISTINCT lang, shard FROM s)
         SELECT lang, shard, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY shard) <= least(2, greatest(1, count(*) OVER (PARTITION BY lang) // 10)) THEN 'val' ELSE 'train' END AS split FROM k"""),
     "val_split_docs": (val_split_docs, f"WITH {_VAL} SELECT doc_id, split FROM v"),
-    "pretoken_counts": (pretoken_counts, None),
+    "pretoken_counts": (pretoken_counts, f"""WITH t AS (SELECT regexp_replace(text, '([{_SPACE}])([{_SPACE}][^{_SPACE}])', '\\1' || chr(57344) || '\\2', 'g') AS t FROM documents WHERE text <> ''),
+        p AS (SELECT unnest(regexp_extract_all(t, '\\x27(?:s|t|re|ve|m|ll|d)| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{_SPACE}\\p{{L}}\\p{{N}}\\x{{e000}}]+|[{_SPACE}]+')) AS piece FROM t)
+        SELECT piece, count(*) AS n FROM p GROUP BY piece"""),
     "pack_offsets": (pack_offsets, f"WITH {_STREAM} SELECT lang, doc_id, start::BIGINT AS start, size FROM p"),
     "pack_segments": (pack_segments, f"""WITH {_TOKENS} SELECT lang, doc_id, "window", t, n, position, row_number() OVER (PARTITION BY lang, "window" ORDER BY t)::INT - 1 AS doc FROM seg"""),
+    "pack_windows": (pack_windows, f"""WITH {_STREAM}, c AS (SELECT lang, p.start + i - 1 AS spot, CASE WHEN i <= length(text) THEN ord(text[i]) ELSE {EOS} END AS tok FROM p JOIN f USING (lang, doc_id), unnest(range(1, size + 1)) AS r(i)),
+        w AS (SELECT lang, spot // {BLOCK} AS "window", spot, tok FROM c UNION ALL SELECT lang, spot // {BLOCK} - 1, spot, tok FROM c WHERE spot % {BLOCK} = 0 AND spot > 0)
+        SELECT lang, "window"::BIGINT AS "window", md5(string_agg(tok::VARCHAR, ',' ORDER BY spot) FILTER (spot < ("window" + 1) * {BLOCK})) AS x,
+          md5(string_agg(tok::VARCHAR, ',' ORDER BY spot) FILTER (spot > "window" * {BLOCK})) AS y FROM w GROUP BY lang, "window" HAVING count(*) = {BLOCK} + 1"""),
     "causal_pairs": (causal_pairs, f"""WITH {_TOKENS} SELECT lang, "window", sum(n)::BIGINT AS tokens, count(*) AS documents, sum(n * (n + 1) // 2)::BIGINT AS pairs FROM seg GROUP BY lang, "window" """),
     "pack_split_stats": (pack_split_stats, f"WITH {_VAL} SELECT split, count(*) AS docs, sum(length(text) + 1)::BIGINT AS tokens FROM v GROUP BY split"),
     "chat_render": (chat_render, """WITH m AS (SELECT doc_id, split_part(text, chr(10), 1) AS q, substr(text, length(split_part(text, chr(10), 1)) + 2) AS a FROM documents WHERE text IS NOT NULL),

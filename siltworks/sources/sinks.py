@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltworks.storage import settle
+
 # The columns of a finished run, in order.
 _RUN = (
     ("flops_budget", T.DoubleType()), ("width", T.IntegerType()), ("seed", T.IntegerType()), ("n_layer", T.IntegerType()), ("n_head", T.IntegerType()), ("n_embd", T.IntegerType()), ("n_params", T.LongType()),
@@ -50,9 +54,46 @@ def write_tokens(encoded: DataFrame, path: str, end: int, vocabulary: int) -> No
     encoded.select("doc_id", F.concat("ids", F.array(F.lit(end))).alias("tokens")).sortWithinPartitions("doc_id").write.mode("overwrite").parquet(path)
 
 
+def write_packed(encoded: DataFrame, path: str, end: int, vocabulary: int, by: str = "split") -> DataFrame:
+    """encoded(doc_id, ids, split) as files of unsigned 16-bit tokens, path/split=.../part-N.bin, one for each task and split: each record's
+    ids with the end-of-text token, in order of doc_id. Returns (split, file, docs, tokens) of what was written, which stream_metadata
+    sums up. A file appears whole under its name, so that a repeated task changes nothing; write the result once (it is settled)."""
+    if vocabulary > 1 << 16:
+        raise ValueError("a vocabulary of more than 65,536 ids doesn't fit 16 bits")
+
+    def run(it):
+        import uuid
+
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, root = fs.FileSystem.from_uri(path)
+        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+        files: dict[str, list] = {}
+        for b in it:
+            for split, ids in zip(b.column(by).to_pylist(), b.column("ids").to_pylist()):
+                if split not in files:
+                    folder = f"{root}/{by}={split}"
+                    system.create_dir(folder)
+                    files[split] = [system.open_output_stream(f"{folder}/.part-{part:05d}-{attempt}"), f"{folder}/part-{part:05d}.bin", 0, 0]
+                f = files[split]
+                f[0].write(np.array([*(ids or ()), end], dtype="<u2").tobytes())
+                f[2] += 1
+                f[3] += len(ids or ()) + 1
+        for split, (f, name, docs, tokens) in files.items():
+            f.close()
+            system.move(f"{name.rpartition('/')[0]}/.part-{part:05d}-{attempt}", name)
+            yield pa.RecordBatch.from_pydict({by: [split], "file": [name], "docs": [docs], "tokens": [tokens]})
+
+    ordered = encoded.select("doc_id", "ids", by).repartitionByRange(by, "doc_id").sortWithinPartitions(by, "doc_id")
+    return settle(ordered.mapInArrow(run, f"{by} string, file string, docs long, tokens long"))
+
+
 def stream_metadata(tokens: DataFrame, vocabulary: int, end: int) -> DataFrame:
-    """One row: vocab_size, eos_token_id, docs and tokens of a written stream, as JSON too."""
-    t = tokens.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens"))
+    """One row: vocab_size, eos_token_id, docs and tokens of a written stream, as JSON too; of records with an array `tokens`, or of
+    what write_packed returns."""
+    rows = tokens if "docs" in tokens.columns else tokens.select(F.lit(1).alias("docs"), F.size("tokens").alias("tokens"))
+    t = rows.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     r = t.select(F.lit(vocabulary).alias("vocab_size"), F.lit(end).alias("eos_token_id"), "docs", "tokens")
     return r.select("*", F.to_json(F.struct("vocab_size", "eos_token_id", "docs", "tokens")).alias("json"))
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siltworks.operators.dedup import MinhashConfig, duplicate_links, signatures
+from siltworks.operators.dedup import MinhashConfig, band_keys, duplicate_links, signatures
+from siltworks.operators.semijoin import having
+from siltworks.storage import settle
 
 HISTORY = "run_id long, iter long, train_loss double, val_loss double, lr double, tokens_seen long, elapsed_s double, logged_at timestamp, arrived_at timestamp"
 
@@ -30,9 +32,12 @@ def write_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def dedup_increment(batch: DataFrame, known: DataFrame, c: MinhashConfig = MinhashConfig()) -> DataFrame:
-    """The records of a batch without a duplicate among the known signatures(doc_id, lang, signature) or earlier in the batch; for
-    foreachBatch, which appends signatures(result) to the known ones."""
-    new = signatures(batch, c)
-    links = duplicate_links(known.select("doc_id", "lang", "signature").unionByName(new), c)
-    gone = links.select(F.col("b").alias("doc_id")).distinct()
+    """The records of a batch without a duplicate among the known bands(doc_id, lang, h), as of dedup.band_keys, or among those of lesser
+    doc_id in the batch; for foreachBatch, which appends band_keys(signatures(result)) to the known ones. Whatever is known
+    comes first, whichever ids it has: ids decide within the batch only. Of what is known only bands that the batch may have are shuffled."""
+    new = settle(signatures(batch, c))
+    own = settle(band_keys(new, c))
+    seen = having(known, "h", own.select("h").distinct()).select(F.col("lang").alias("l"), F.col("h").alias("k")).distinct()
+    again = own.join(seen, (F.col("h") == F.col("k")) & F.col("lang").eqNullSafe(F.col("l")), "left_semi").select("doc_id")
+    gone = again.union(duplicate_links(new, c).select("b")).distinct()
     return batch.join(gone, "doc_id", "left_anti")

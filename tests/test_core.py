@@ -2,16 +2,19 @@
 
 import json
 import math
+import os
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siltworks import storage
 from siltworks.functions import chat
 from siltworks.functions import scaling as sc
 from siltworks.functions import text as tx
-from siltworks.operators import dedup, fitting, metrics, sampling, shards, windows
+from siltworks.operators import dedup, fitting, metrics, sampling, semijoin, shards, windows
 from siltworks.operators.blocks import candidate_pairs
 from siltworks.operators.components import components
 from siltworks.operators.prefix import running_total
@@ -43,12 +46,15 @@ def test_shingles(spark):
 def test_byte_pieces(spark):
     p = spark.createDataFrame([("I'll  go 42!\n",)], "t string").select(tx.byte_pieces(F.col("t"))).first()[0]
     assert p == ["I", "'ll", " ", " go", " 42", "!", "\n"] and "".join(p) == "I'll  go 42!\n"
+    # other white space than ASCII's
+    p = spark.createDataFrame([("a\u00a0\u00a0! b\u3000c\u2003\u2003",)], "t string").select(tx.byte_pieces(F.col("t"))).first()[0]
+    assert p == ["a", "\u00a0", "\u00a0", "!", " b", "\u3000", "c", "\u2003\u2003"]
 
 
 def test_running_total(spark):
     r = random.Random(1)
     rows = [(r.choice("ab"), i, r.choice([None, 1, 5, 9])) for i in range(0, 400_000, 997)]
-    got = running_total(spark.createDataFrame(rows, "k string, o long, v long"), ["k"], "o", "v", bucket=20_000).collect()
+    got = running_total(spark.createDataFrame(rows, "k string, o long, v long"), ["k"], "o", "v", parts=7).collect()
     have = {"a": 0, "b": 0}
     want = {}
     for k, o, v in rows:
@@ -57,6 +63,33 @@ def test_running_total(spark):
     assert {x.o: x.before for x in got} == want
 
 
+def test_running_total_of_sparse_and_skewed_keys(spark):
+    """Hashed ids, one key with most rows, null keys and text as order: right totals, and no range that holds the whole of the hot key."""
+    r = random.Random(3)
+    rows = [(r.choice(["hot"] * 9 + ["cold", None]), f"{r.getrandbits(60):015x}", r.choice([None, 2, 3])) for _ in range(3000)]
+    d = spark.createDataFrame(rows, "k string, o string, v long")
+    got = {x.o: x.before for x in running_total(d, ["k"], "o", "v", parts=16).collect()}
+    have: dict = {}
+    for k, o, v in sorted(rows, key=lambda x: x[1]):
+        assert got[o] == have.get(k, 0)
+        have[k] = have.get(k, 0) + (v or 0)
+    sizes = d.repartitionByRange(16, "k", "o").withColumn("p", F.spark_partition_id()).where("k = 'hot'").groupBy("p").count().collect()
+    assert max(x["count"] for x in sizes) < 3000 / 4
+    assert running_total(d.where("false"), ["k"], "o", "v").collect() == []
+
+
+def test_semi_joins(spark):
+    big = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k, 7L AS x"))
+    keys = spark.range(0, 9000, 7).select(F.col("id").alias("k"))
+    assert sorted(r.k for r in semijoin.having(big, "k", keys).collect()) == list(range(0, 5000, 7))
+    assert semijoin.having(big, "k", keys.where("false")).collect() == []
+    marked = semijoin.marked(big, "k", keys)
+    assert marked.count() == 5001 and marked.where("maybe").count() < 5000 / 7 + 300 and not marked.where("k IS NULL").first().maybe
+    other = keys.withColumn("y", F.lit("a"))
+    rows = {r.k: (r.x, r.y) for r in semijoin.joined_where_known(big, "k", other).collect()}
+    assert rows == {**{i: (2 * i, None if i % 7 else "a") for i in range(5000)}, None: (7, None)}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (None, 3)]
     got = {x.id: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -79,6 +112,11 @@ def test_dedup_across_sources_and_languages(spark):
     assert dedup.clusters(d.where("false")).collect() == []
     with pytest.raises(TypeError):
         dedup.MinhashConfig.of({"n_gram": 5})
+    # words as the caller cuts them
+    letters = [(1, "a,b,c,d,e,f", "pt"), (2, "a,b,c;d,e,f", "pt"), (3, "a b c d e f", "pt")]
+    s = dedup.signatures(spark.createDataFrame(letters, "doc_id long, text string, lang string"), words=lambda t: t.replace(";", ",").split(","))
+    s = {r.doc_id: r.signature for r in s.collect()}
+    assert set(s) == {1, 2} and s[1] == s[2]
 
 
 def test_minhash_estimates_similarity(spark):
@@ -89,11 +127,26 @@ def test_minhash_estimates_similarity(spark):
     assert abs(np.mean(np.array(s[1]) == np.array(s[2])) - 236 / 356) < 0.15
 
 
+def test_signature_values(spark):
+    """The definition itself, shingle by shingle."""
+    import hashlib
+
+    t, c = "um  dois três\u3000quatro cinco seis um dois três quatro cinco", dedup.MinhashConfig(num_buckets=2, hashes_per_bucket=3)
+    got = dedup.signatures(spark.createDataFrame([(1, t, "pt")], "doc_id long, text string, lang string"), c).first().signature
+    w = t.split()
+    h = {int(hashlib.md5(" ".join(w[i : i + 5]).encode()).hexdigest()[:7], 16) for i in range(len(w) - 4)}
+    assert got == [min((a * x + b) % (2**31 - 1) for x in h) for a, b in c.coefficients()]
+
+
 def test_two_buckets_equal_a_loop(spark):
     r = random.Random(2)
     rows = [(i, "pt", r.randrange(1, 90)) for i in range(300)]
     caps = {"train": 4000, "heldout": 400}
-    got = {x.doc_id: x.bucket for x in sampling.fill_buckets(spark.createDataFrame(rows, "doc_id long, lang string, bytes long"), caps).collect()}
+    d = spark.createDataFrame(rows, "doc_id long, lang string, bytes long")
+    got = {x.doc_id: x.bucket for x in sampling.fill_buckets(d, caps).collect()}
+    # ids that two languages have, and no language at all
+    both = d.unionByName(d.withColumn("lang", F.lit(None).cast("string")))
+    assert sorted(map(repr, sampling.fill_buckets(both, caps).collect())) == sorted(f"Row(lang={k!r}, doc_id={i}, bucket={got[i]!r})" for i in got for k in ("pt", None))
     have = dict.fromkeys(caps, 0)
     for i, _, n in rows:
         free = [k for k in caps if have[k] < caps[k]]
@@ -130,9 +183,13 @@ def test_parse_ratios():
 def test_shards(spark, tmp_path):
     d = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("pt").alias("lang"))
     a = shards.assign_shards(d, "doc_id", 7)
-    shards.write_shards(a, str(tmp_path / "out"), 7, ["lang"])
+    shards.write_shards(a.where("shard <> 3"), str(tmp_path / "out"), ["lang"])
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r.doc_id for r in back.collect()) == list(range(500)) and back.select("shard").distinct().count() == 7
+    assert sorted(r.doc_id for r in back.collect()) == sorted(r.doc_id for r in a.collect() if r.shard != 3)
+    # one file for each shard that has rows, numbered without gaps
+    assert sorted(p.parent.name for p in (tmp_path / "out").rglob("*.parquet")) == [f"part={i:05d}-of-00006" for i in range(6)]
+    names = {(r.lang, r.shard): (r.number, r.of) for r in shards.numbered_shards(a.where("shard <> 3"), ["lang"]).collect()}
+    assert names == {("pt", k): (i, 6) for i, k in enumerate([0, 1, 2, 4, 5, 6])}
     assert shards.is_complete(spark, str(tmp_path / "out")) and not shards.is_complete(spark, str(tmp_path / "none"))
     assert sorted(a.collect()) == sorted(shards.assign_shards(d.repartition(3), "doc_id", 7).collect())
     assert [shards.shard_count(*x) for x in ((1, 100), (250, 100), (350, 100))] == [1, 2, 4]
@@ -162,6 +219,13 @@ def test_windows_equal_tokens(spark):
         assert pairs[w] == sum(part[k] == part[q] for q in range(len(part)) for k in range(q + 1))
 
 
+def test_shifted_windows(spark):
+    docs = [("pt", 2, [5, 6, 7]), ("pt", 1, [1, 2]), ("pt", 3, []), ("pt", 4, None), ("pt", 5, [8] * 9), ("es", 6, [4])]
+    got = {(r.lang, r.window): (r.x, r.y) for r in windows.shifted_windows(spark.createDataFrame(docs, "lang string, doc_id long, ids array<int>"), ["lang"], 4, 0).collect()}
+    stream = [t for _, _, ids in sorted((x for x in docs if x[0] == "pt"), key=lambda x: x[1]) for t in [*(ids or []), 0]]
+    assert got == {("pt", w): (stream[4 * w : 4 * w + 4], stream[4 * w + 1 : 4 * w + 5]) for w in range((len(stream) - 1) // 4)}
+
+
 def test_metrics(spark):
     d = spark.createDataFrame([("pt", "a bb"), ("es", " "), ("pt", "ção")], "lang string, text string")
     got = {(r.tokenizer, r.lang): r for r in metrics.report(d, {"chars": tx.code_points(F.col("text"))}).collect()}
@@ -244,8 +308,18 @@ def test_metadata_struct_folds_every_column(spark, tmp_path):
 
 def test_packed_and_csv(spark, tmp_path):
     np.array([1, 65535, 0], dtype="<u2").tofile(tmp_path / "t.bin")
-    r = readers.read_packed(spark, str(tmp_path / "t.bin")).first()
-    assert (r.n, r.tokens) == (3, [1, 65535, 0])
+    (tmp_path / "empty.bin").touch()
+    got = sorted((r.start, r.n, r.tokens) for r in readers.read_packed(spark, str(tmp_path), 2).collect())
+    assert got == [(0, 2, [1, 65535]), (2, 1, [0])]
+    docs = [(i, [i, 60_000 + i] if i % 3 else None, "val" if i % 5 == 0 else "train") for i in range(1, 40)]
+    out = sinks.write_packed(spark.createDataFrame(docs, "doc_id long, ids array<int>, split string"), str(tmp_path / "stream"), 0, 65_536)
+    meta = sinks.stream_metadata(out, 65_536, 0).first()
+    assert (meta.docs, meta.tokens) == (39, sum(len(ids or ()) + 1 for _, ids, _ in docs))
+    for split in ("train", "val"):
+        rows = sorted((r.file, r.start, r.tokens) for r in readers.read_packed(spark, str(tmp_path / f"stream/split={split}"), 7).collect())
+        assert [t for _, _, part in rows for t in part] == [t for _, ids, s in docs if s == split for t in [*(ids or ()), 0]]
+    with pytest.raises(ValueError):
+        sinks.write_packed(out, str(tmp_path / "no"), 0, 70_000)
     sinks.write_csv(spark.createDataFrame([(1, "a")], "x int, y string"), str(tmp_path / "c"))
     from pyspark.sql.types import StructType
 
@@ -265,6 +339,31 @@ def test_runs_are_appended_once(spark, tmp_path):
 
 def test_settled_tables(spark):
     assert settle(spark.range(5)).count() == 5 and settle(spark.range(0)).collect() == []
+    path = settle(spark.range(3)).inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    assert os.path.isdir(path) and storage.release() > 0 and not os.path.isdir(path)
+
+
+def test_stage_tables_need_a_shared_folder():
+    """On a cluster without spark.checkpoint.dir each executor would write to its own disk."""
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="yarn", getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(unset)
+
+
+def test_limits_without_the_rest(spark, tmp_path):
+    rows = [("pt" if i % 3 else "es", f"{(i * 7919) % 100:03d}", "" if i % 10 == 0 else f"t{i}") for i in range(100)]
+    d = spark.createDataFrame(rows, "lang string, id string, text string")
+    assert sorted(r.id for r in readers.limited(d, "id", 7).collect()) == [f"{i:03d}" for i in range(7)]
+    assert readers.limited(d, "id", 0).collect() == [] and readers.limited(d, "id", -1).count() == 100 and readers.limited(d, "id", 1000).count() == 100
+    d.write.partitionBy("lang").parquet(str(tmp_path / "c"))
+    got = {(r.lang, r.id) for r in readers.read_processed(spark, str(tmp_path / "c"), 5).collect()}
+    want = {(lang, i) for lang in ("pt", "es") for i, t in sorted((i, t) for k, i, t in rows if k == lang)[:5] if t}
+    assert got == want and len(readers.list_shards(spark, str(tmp_path / "c"), "pt")) > 0
+    with pytest.raises(FileNotFoundError):
+        readers.list_shards(spark, str(tmp_path / "c"), "hi")
+    d.where("false").write.parquet(str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        readers.read_processed(spark, str(tmp_path / "none"))
 
 
 def test_history_stream(spark, tmp_path):
@@ -273,6 +372,9 @@ def test_history_stream(spark, tmp_path):
     q = hist.write_available(hist.history_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted((r.run_id, r.iter) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 0), (1, 1)]
-    old = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)), "pt")], "doc_id long, text string, lang string")
-    new = spark.createDataFrame([(2, " ".join(f"w{i}" for i in range(40)), "pt"), (3, " ".join(f"u{i}" for i in range(40)), "pt")], "doc_id long, text string, lang string")
-    assert [r.doc_id for r in hist.dedup_increment(new, dedup.signatures(old)).collect()] == [3]
+    # what is known comes first, whether its id is less or greater; ids decide within the batch; a null language is one too
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    shape = "doc_id long, text string, lang string"
+    known = dedup.band_keys(dedup.signatures(spark.createDataFrame([(10, text("w"), "pt"), (11, text("n"), None)], shape)))
+    new = spark.createDataFrame([(5, text("w"), "pt"), (20, text("w"), "pt"), (6, text("w"), "es"), (3, text("u"), "pt"), (4, text("u"), "pt"), (12, text("n"), None), (13, "short", "pt")], shape)
+    assert sorted(r.doc_id for r in hist.dedup_increment(new, known).collect()) == [3, 6, 13]
