@@ -20,13 +20,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from siltworks.functions.text import SPLIT
 from siltworks.llm import textnum as tn
 from siltworks.storage import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
-# The vocabulary's published split pattern, and white space as Unicode defines it.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# White space as Unicode defines it, in the spelling of Python.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -53,6 +53,7 @@ class StreamingBpe:
         self.most = cache
         self.coarse = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.fine = regex.compile(SPLIT)
+        self.cut = re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
         self.ids_of: dict[str, bytes] = {}
 
     def _lookahead(self) -> int:
@@ -123,15 +124,28 @@ class StreamingBpe:
             ids.extend(self.stream(piece.encode("utf-8", "replace")))
         return np.array(ids, dtype=np.int32).tobytes()
 
+    def stretches(self, text: str, most: int = 1 << 16) -> Iterator[list[str]]:
+        """The units of a text, of about `most` characters at a time: a unit ends wherever white space begins."""
+        at = 0
+        while len(text) - at > most and (m := self.cut.search(text, at + most)):
+            yield self.coarse.findall(text, at, m.start())
+            at = m.start()
+        yield self.coarse.findall(text, at)
+
     def encode(self, text: str) -> bytes:
-        """The token ids as packed int32. Units between white space are remembered, up to a bound."""
-        if len(self.ids_of) > self.most:
-            self.ids_of = {}
-        units = self.coarse.findall(text)
-        have = self.ids_of
-        for u in set(units).difference(have):
-            have[u] = self.pieces(u)
-        return b"".join(map(have.__getitem__, units))
+        """The token ids as packed int32. Units between white space are remembered, up to a bound; beside the text and its ids only one
+        stretch's units are held."""
+        return b"".join(self.encode_stream(text))
+
+    def encode_stream(self, text: str) -> Iterator[bytes]:
+        """encode() stretch by stretch."""
+        for units in self.stretches(text):
+            if len(self.ids_of) > self.most:
+                self.ids_of = {}
+            have = self.ids_of
+            for u in set(units).difference(have):
+                have[u] = self.pieces(u)
+            yield b"".join(map(have.__getitem__, units))
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(self.decode_stream(ids))
@@ -187,14 +201,16 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         bpe = StreamingBpe(model.value)
         counts: dict[str, int] = {}
         for b, texts in tn.batches(it):
-            if len(counts) > bpe.most:
-                counts = {}
             out = []
             for t in texts:
-                units = bpe.coarse.findall(t)
-                for u in set(units).difference(counts):
-                    counts[u] = len(bpe.pieces(u)) // 4
-                out.append(sum(map(counts.__getitem__, units)))
+                n = 0
+                for units in bpe.stretches(t):
+                    if len(counts) > bpe.most:
+                        counts = {}
+                    for u in set(units).difference(counts):
+                        counts[u] = len(bpe.pieces(u)) // 4
+                    n += sum(map(counts.__getitem__, units))
+                out.append(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.int64())], names=["doc_id", "n_tokens"])
 
     return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long")

@@ -1,5 +1,8 @@
 """Problem 7: filling containers of fixed capacity, by best-fit decreasing in partitions whose results dual feasible
-functions certify; partitions with a gap between containers and bound exchange their items and are packed again."""
+functions certify. Partitions with a gap between containers and bound exchange their items in pairs: both are packed anew as
+one, which is taken pair by pair where it saves a container. Bounds round up once for each partition, so that certified ones may
+still lose part of a container each: what stands in containers with much room is packed anew across all partitions. A
+histogram of sizes gives the bound of the whole."""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.storage import settle
@@ -18,18 +21,26 @@ class Packing:
     capacity: int = 4096
     #: Items in one partition, about.
     partition_items: int = 20_000
-    rounds: int = 3
+    #: Rounds of exchange at most; each one doubles the items of the partitions that still have a gap.
+    rounds: int = 6
+    #: Containers filled less than this share are packed anew across partitions.
+    loose: float = 0.9
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """The most that dual feasible functions prove: no packing of the sizes has fewer containers.
+    """The containers that any packing of the sizes has at least; items of no size take a place in one."""
+    return bound_of(np.bincount(sizes[sizes > 0], minlength=capacity + 1)[: capacity + 1], capacity) or int(len(sizes) > 0)
+
+
+def bound_of(h: np.ndarray, capacity: int) -> int:
+    """The most that dual feasible functions prove, of h[s] items of each size s up to the capacity.
 
     Threshold functions (items above capacity - t count as whole containers, items below t as none) for every t up to half the
     capacity, and rounding functions (floor((k+1) x / C) / k unless (k+1) x / C is whole) for k up to 20.
     """
-    h = np.bincount(sizes[sizes > 0], minlength=capacity + 1)[: capacity + 1]
+    h = np.where(np.arange(capacity + 1) > 0, h, 0).astype(np.int64)
     if not h.any():
-        return int(len(sizes) > 0)
+        return 0
     x = np.arange(capacity + 1)
     volume, count = np.cumsum(h * x), np.cumsum(h)
     t = np.arange(1, capacity // 2 + 1)
@@ -72,7 +83,40 @@ def _pack(p: Packing):
         sizes = df["size"].to_numpy(np.int64)
         bins = best_fit_decreasing(sizes, p.capacity)
         made = int(bins.max()) + 1
-        return df.assign(bin=bins, gap=made - lower_bound(sizes, p.capacity), made=made)
+        return df.assign(bin=bins, gap=made - lower_bound(sizes, p.capacity), made=made, saved=0)
+
+    return run
+
+
+def _exchange(p: Packing):
+    """Two packed partitions as one: packed anew if that saves a container, else side by side."""
+    again = _pack(p)
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        made = df.groupby("old")["made"].first().sort_index()
+        new = again(df.drop(columns=["bin", "gap", "made", "saved"]))
+        saved = int(made.sum()) - int(new["made"].iloc[0])
+        if saved > 0:
+            return new.drop(columns="old").assign(saved=saved)
+        before = (made.cumsum() - made).to_dict()
+        bound = int(new["made"].iloc[0]) - int(new["gap"].iloc[0])
+        return df.assign(bin=df["bin"] + df["old"].map(before), made=int(made.sum()), gap=int(made.sum()) - bound, saved=0).drop(columns="old")
+
+    return run
+
+
+def _gather(p: Packing):
+    """The items of loose containers of many partitions: packed anew if that saves a container, else as they were."""
+    again = _pack(p)
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        was = df.groupby(["old", "bin"], sort=True).ngroup()
+        n = int(was.max()) + 1
+        new = again(df.drop(columns=["bin", "gap", "made", "saved"]))
+        made = int(new["made"].iloc[0])
+        if made < n:
+            return new.drop(columns="old").assign(saved=n - made)
+        return df.assign(bin=was, made=n, gap=n - made + int(new["gap"].iloc[0]), saved=0).drop(columns="old")
 
     return run
 
@@ -91,33 +135,60 @@ def pack(items: DataFrame, p: Packing = Packing()) -> DataFrame:
         "doc_id", "piece", F.least(F.col("n") - F.col("piece") * F.lit(p.capacity), F.lit(p.capacity)).alias("size")
     )
     pieces = settle(pieces)
-    total = pieces.count()
-    shape = "doc_id long, piece int, size long, part long, bin long, gap long, made long"
-
-    def packed(df: DataFrame, count: int, salt: int) -> DataFrame:
-        parts = max(1, round(count / p.partition_items))
-        keyed = df.select("doc_id", "piece", "size", (F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(parts)) + F.lit(salt << 32)).alias("part"))
-        return settle(keyed.repartition(min(parts, 20000), "part").groupBy("part").applyInPandas(_pack(p), shape))
-
-    def containers(df: DataFrame) -> int:
-        return df.select("part", "made").distinct().agg(F.coalesce(F.sum("made"), F.lit(0))).first()[0]
-
-    done, open_ = [], packed(pieces, total, 0)
-    for salt in range(1, p.rounds + 1):
+    shape = "doc_id long, piece int, size long, part long, bin long, gap long, made long, saved long"
+    parts = max(1, round(pieces.count() / p.partition_items))
+    keyed = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    open_ = settle(keyed.repartition(min(parts, 20000), "part").groupBy("part").applyInPandas(_pack(p), shape))
+    done = []
+    for r in range(1, p.rounds + 1):
         gaps = open_.where("gap > 0")
-        left = gaps.count()
+        # partitions are few rows, one for each; neighbours in their order meet, the last of an odd number waits for the next round
+        pairs = gaps.select(F.col("part").alias("old")).distinct().select("old", (F.floor((F.row_number().over(Window.orderBy("old")) - 1) / 2) + F.lit(r << 32)).alias("part"))
+        pairs = settle(pairs)
+        if pairs.count() < 2:
+            break
         done.append(open_.where("gap = 0"))
-        if not left:
-            open_ = None
+        met = gaps.withColumnRenamed("part", "old").join(pairs, "old")
+        n = min(pairs.select("part").distinct().count(), 20000)
+        open_ = settle(met.repartition(n, "part").groupBy("part").applyInPandas(_exchange(p), shape))
+        if open_.where("saved > 0").isEmpty():
+            break
+    out = open_
+    for df in done:
+        out = out.unionByName(df)
+    kept, groups = [], parts
+    for r in range(1, p.rounds + 1):
+        # once all that is loose was packed together, there is nothing left to exchange with
+        if groups == 1:
             break
-        again = packed(gaps, left, salt)
-        # one partition has nothing to exchange with; a worse result is not taken
-        open_ = again if containers(again) < containers(gaps) else gaps
-        if open_ is gaps:
+        fill = settle(out.groupBy("part", "bin").agg(F.sum("size").alias("fill"), F.count(F.lit(1)).alias("n")).where(F.col("fill") < F.lit(p.loose * p.capacity)))
+        groups = max(1, round((fill.agg(F.sum("n")).first()[0] or 0) / p.partition_items))
+        part = (F.pmod(F.xxhash64("old", F.lit(r)), F.lit(groups)) + F.lit((p.rounds + r) << 32)).alias("part")
+        loose = out.join(fill.select("part", "bin"), ["part", "bin"]).withColumnRenamed("part", "old").select("*", part)
+        kept.append(out.join(fill.select("part", "bin"), ["part", "bin"], "left_anti"))
+        out = settle(loose.repartition(min(groups, 20000), "part").groupBy("part").applyInPandas(_gather(p), shape))
+        if out.where("saved > 0").isEmpty():
             break
-    for df in [open_] if open_ is not None else []:
-        done.append(df)
-    out = done[0]
-    for df in done[1:]:
+    for df in kept:
         out = out.unionByName(df)
     return out.select("doc_id", "piece", "size", (F.col("part") * F.lit(1 << 24) + F.col("bin")).alias("container"), F.col("gap").alias("bound_gap"))
+
+
+def split_items(packed: DataFrame) -> DataFrame:
+    """(doc_id): items whose pieces fill more than one container; of a doc_id given several times, more containers than times."""
+    by = packed.groupBy("doc_id").agg(F.count_distinct("container").alias("containers"), F.count(F.when(F.col("piece") == 0, 1)).alias("items"))
+    return by.where("containers > items").select("doc_id")
+
+
+def certified(packed: DataFrame, p: Packing = Packing()) -> DataFrame:
+    """One row of a packing as a whole: items, containers, lower_bound (what no packing of all the pieces can be below), gap (containers more
+    than that) and fill (share of the containers' room that is used). The bound comes from a histogram of sizes, of capacity + 1 rows
+    at most. Nothing packed gives zeros."""
+    packed = settle(packed.select("size", "container", "piece"))
+    h = np.zeros(p.capacity + 1, dtype=np.int64)
+    for x in packed.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where(F.col("size").between(1, p.capacity)).collect():
+        h[x["size"]] = x["n"]
+    t = packed.agg(F.count(F.when(F.col("piece") == 0, 1)).alias("items"), F.count_distinct("container").alias("containers"), F.coalesce(F.sum("size"), F.lit(0)).alias("used"))
+    bound = F.greatest(F.lit(bound_of(h, p.capacity)), (F.col("containers") > 0).cast("int")).cast("long")
+    room = F.col("containers") * p.capacity
+    return t.select("items", "containers", bound.alias("lower_bound"), (F.col("containers") - bound).alias("gap"), F.round(F.when(room > 0, F.col("used") / F.when(room > 0, room)).otherwise(F.lit(0.0)), 6).alias("fill"))

@@ -71,8 +71,9 @@ def queries() -> dict[str, Query]:
         "p6_ids": lambda s, d: bpe_stream.encode_corpus(_docs(s, d)),
         "p6_round_trip": p6_round_trip,
         "p6_report": p6_report,
-        "p7_found": lambda s, d: _packed(s, d).where("piece > 0").select("doc_id").distinct(),
+        "p7_found": lambda s, d: packing.split_items(_packed(s, d)),
         "p7_containers": _packed,
+        "p7_bound": lambda s, d: packing.certified(_packed(s, d)),
         "p8_found": lambda s, d: shared_spans.shared_span_pairs(_docs(s, d)),
         "p8_members": lambda s, d: shared_spans.shared_span_members(_docs(s, d)),
         "p8_spans": lambda s, d: shared_spans.shared_passages(_docs(s, d)),

@@ -11,7 +11,6 @@ import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +49,6 @@ _SYMBOL = regex.compile(r"[^\p{L}\p{N}\p{M}\s.,;:!?¿¡«»\"'()\-–—।]")
 _LETTER = regex.compile(r"[\p{L}\p{Mn}\p{Mc}-]")
 
 
-@lru_cache(1 << 17)
 def kind_of(word: str) -> tuple[bool, bool]:
     """Whether a word is a number, and whether it is no word of letters: very long, broken or with other characters inside."""
     n = len(_LETTER.findall(word))
@@ -61,8 +59,8 @@ def kind_of(word: str) -> tuple[bool, bool]:
 _CUT = re.compile(r"[,;|·\t•→*]|  +| [-–—] ")
 
 
-def statistics(text: str, lists: Lists) -> list[float]:
-    """The statistics of one text of at least one word, in the order of STATISTICS."""
+def statistics(text: str, lists: Lists, kinds: dict[str, tuple[bool, bool]]) -> list[float]:
+    """The statistics of one text of at least one word, in the order of STATISTICS. kinds keeps what kind_of said of words."""
     text = unicodedata.normalize("NFC", text)
     lines = [x for x in (y.strip() for y in text.split("\n")) if x]
     raw = text.split()
@@ -74,7 +72,9 @@ def statistics(text: str, lists: Lists) -> list[float]:
     count = Counter(words)
     digits = mixed = 0
     for w, k in count.items():
-        d, m = kind_of(w)
+        if w not in kinds:
+            kinds[w] = kind_of(w)
+        d, m = kinds[w]
         digits += k * d
         mixed += k * m
     letters = sum(map(len, words))
@@ -158,9 +158,12 @@ def quality_statistics(docs: DataFrame, words: DataFrame, p: Mixture = Mixture()
     lists = _lists(words, p)
 
     def run(it):
+        kinds: dict[str, tuple[bool, bool]] = {}
         for b, texts in tn.batches(it):
+            if len(kinds) > 1 << 17:
+                kinds = {}
             n = [len(t.split()) for t in texts]
-            s = [statistics(t, lists) if k else None for t, k in zip(texts, n)]
+            s = [statistics(t, lists, kinds) if k else None for t, k in zip(texts, n)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64()))], names=["doc_id", "n_words", "s"])
 
     return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_words long, s array<double>")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -391,6 +392,19 @@ def test_streaming_equals_whole(bpe, alphabet):
     assert 0 < bpe.lookahead < 1000
 
 
+def test_stretches_of_a_long_text(bpe, public):
+    """Cut anywhere before white space, one stretch at a time, with the same ids."""
+    r = random.Random(9)
+    text = "".join(r.choice(["casa", " ", "  ", "\n", "\u3000", "ção", "12", "!?", "\t ", "नमस्ते"]) for _ in range(3000))
+    whole = public.encode(text, add_special_tokens=False).ids
+    for most in (1, 7, 100, 1 << 16):
+        parts = list(bpe.stretches(text, most))
+        assert "".join(u for units in parts for u in units) == text and (most > 100 or len(parts) > 50)
+        assert [t for units in parts for u in units for t in np.frombuffer(bpe.pieces(u), np.int32).tolist()] == whole
+    long = "a b " * 40_000
+    assert len(list(bpe.encode_stream(long))) == 3 and np.frombuffer(bpe.encode(long), np.int32).tolist() == public.encode(long, add_special_tokens=False).ids
+
+
 def test_special_strings_are_text(bpe, public):
     assert np.frombuffer(bpe.encode("a<|endoftext|>b"), np.int32).tolist() == public.encode("a<|endoftext|>b", add_special_tokens=False).ids
     assert 50256 not in np.frombuffer(bpe.encode("<|endoftext|>"), np.int32)
@@ -443,6 +457,29 @@ def test_pack_on_spark(spark):
     assert total == {d: n or 0 for d, n in rows}
     assert {x.doc_id for x in out if x.piece} == {1000, 1004}
     assert len(fill) <= 1.02 * sum(total.values()) / 4096 + 6
+    d = packing.pack(spark.createDataFrame(rows, "doc_id long, size long"), p)
+    c = packing.certified(d, p).first()
+    assert (c["items"], c.containers) == (905, len(fill)) and 0 <= c.gap == c.containers - c.lower_bound and abs(c.fill - sum(total.values()) / len(fill) / 4096) < 1e-6
+    assert {x.doc_id for x in packing.split_items(d).collect()} == {1000, 1004}
+    twice = packing.pack(spark.createDataFrame([(1, 4000), (1, 4000), (2, 5000), (2, 5000)], "doc_id long, size long"), p)
+    assert [x.doc_id for x in packing.split_items(twice).collect()] == [2]
+    none = packing.certified(packing.pack(d.where("false").select("doc_id", "size"), p), p).first()
+    assert tuple(none) == (0, 0, 0, 0, 0.0)
+
+
+def test_exchange_saves_containers(spark):
+    """Partitions of few items, most of them optimal by their own bound, leave a container partly filled each: across partitions fewer do.
+    And two partitions are packed as one if that saves a container, else they stay as they are, each container by itself."""
+    r = random.Random(2)
+    items = spark.createDataFrame([(i, r.randrange(100, 900)) for i in range(640)], "doc_id long, size long")
+    own, all_ = (packing.certified(packing.pack(items, packing.Packing(partition_items=20, loose=x))).first() for x in (0.0, 0.9))
+    assert own.lower_bound == all_.lower_bound and own.gap >= 8 and all_.gap <= 3
+    exchange = packing._exchange(packing.Packing(capacity=100))
+    for size, bins, made in ((50, 3, 2), (60, 6, 3)):
+        rows = [(k, 0, size, 7, 0, made, 0, old, i * size // 100 if size == 50 else i) for old in (1, 2) for i, k in enumerate(range(3 * old, 3 * old + 3))]
+        df = pd.DataFrame(rows, columns=["doc_id", "piece", "size", "part", "gap", "made", "saved", "old", "bin"])
+        out = exchange(df)
+        assert out["bin"].nunique() == bins and out["made"].eq(bins).all() and out["gap"].eq(0).all() and out["saved"].eq(2 * made - bins).all()
 
 
 def test_site_lines(spark):
@@ -569,6 +606,22 @@ def test_page_numbers():
     assert [scanned_pages.page_number(x) for x in ("— 12 —", "[९]", "xiv", "Página 3", "पृष्ठ ७३ / ११३", "texto 5", "1a")] == [12, 9, 14, 3, 73, None, None]
 
 
+def test_mixture_moves_to_the_data(spark):
+    """Rows lie around places a good way off the examples that components start at: the components end there, and the mixture says more of the rows."""
+    rng = np.random.default_rng(4)
+    chosen = [0, 7, 11, 15]
+    places = np.array([text_quality.EXAMPLES[i][2] for i in chosen]) + rng.normal(0, 0.05, (4, len(text_quality.STATISTICS)))
+    rows = [(row.tolist(),) for c in places for row in c + rng.normal(0, 0.02, (150, len(c)))]
+    stats = spark.createDataFrame(rows, "s array<double>")
+    z = np.array([x for (x,) in rows])
+    off, said = {}, {}
+    for rounds in (0, 15):
+        model, center, scale = text_quality.fit_mixture(stats, text_quality.Mixture(rounds=rounds))
+        off[rounds] = max(np.abs(model.means - (c - center) / scale).max(axis=1).min() for c in places)
+        said[rounds] = model.responsibilities((z - center) / scale)[1].mean()
+    assert off[15] < 0.05 < off[0] and said[15] > said[0] + 1
+
+
 def test_page_kinds(spark):
     r = random.Random(6)
     noun = lambda: r.choice(_NOUNS)
