@@ -214,3 +214,40 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.int64())], names=["doc_id", "n_tokens"])
 
     return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long")
+
+
+def _library(kind: str, path: str):
+    """The length of a text's encoding by one of the public libraries, special tokens being ordinary text."""
+    if kind == "tokenizers":
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        return lambda texts: [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    if kind == "tiktoken":
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
+
+
+def baseline_counts(docs: DataFrame, baselines: dict[str, tuple[str, str]]) -> DataFrame:
+    """(doc_id, t_NAME...): for each row of docs(doc_id, text, ...) how many tokens each of baselines = {name: (library, file)} makes of its
+    text, library being tokenizers, tiktoken or sentencepiece, for comparison. The files must be where the executors can read them. Null and
+    empty text give 0."""
+    names = list(baselines)
+
+    def run(it):
+        count = {k: _library(*v) for k, v in baselines.items()}
+        for b, texts in tn.batches(it):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(count[k](texts), pa.int64()) for k in names]], names=["doc_id", *[f"t_{k}" for k in names]])
+
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, " + ", ".join(f"t_{k} long" for k in names))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,21 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.report_of_counts(sizes.join(tokens, "doc_id"), ["byte_bpe_50k"])
 
 
+def p6_baselines(spark: SparkSession, folder: str) -> DataFrame:
+    """p6_report of other public vocabularies, by the libraries they are made for, and ours by the transducer."""
+    at = os.path.dirname(bpe_stream.VOCABULARY)
+    others = {
+        "byte_bpe_multi_50k": ("tiktoken", f"{at}/byte_bpe_multi_50k.tiktoken"),
+        "word_bpe_49k": ("tokenizers", f"{at}/word_bpe_49k.json"),
+        "piece_bpe_32k": ("sentencepiece", f"{at}/piece_bpe_32k.model"),
+    }
+    docs = _docs(spark, folder, "lang").withColumn("lang", language_code(F.col("lang"))).where("text <> '' AND lang IS NOT NULL")
+    sizes = docs.select("doc_id", "lang", word_count(F.col("text")).alias("w"), utf8_bytes(F.col("text")).alias("b"))
+    own = bpe_stream.token_counts(docs.select("doc_id", "text")).select("doc_id", F.col("n_tokens").alias("t_byte_bpe_50k"))
+    counts = sizes.join(own, "doc_id").join(bpe_stream.baseline_counts(docs, others), "doc_id")
+    return metrics.report_of_counts(counts, ["byte_bpe_50k", *others])
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(bpe_stream.token_counts(_docs(spark, folder)).withColumnRenamed("n_tokens", "size"))
 
@@ -71,6 +87,7 @@ def queries() -> dict[str, Query]:
         "p6_ids": lambda s, d: bpe_stream.encode_corpus(_docs(s, d)),
         "p6_round_trip": p6_round_trip,
         "p6_report": p6_report,
+        "p6_baselines": p6_baselines,
         "p7_found": lambda s, d: packing.split_items(_packed(s, d)),
         "p7_containers": _packed,
         "p7_bound": lambda s, d: packing.certified(_packed(s, d)),

@@ -425,6 +425,13 @@ def test_report_of_the_public_vocabulary(spark, public, tmp_path):
         n, w, b = (sum(map(f, texts)) for f in (lambda t: len(public.encode(t, add_special_tokens=False).ids), lambda t: len(t.split()), lambda t: len(t.encode())))
         want[lang] = (n, pytest.approx(n / w, abs=1e-6), pytest.approx(b / n, abs=1e-6))
     assert got == want
+    rows = {(r.tokenizer, r.lang): r for r in queries.queries()["p6_baselines"](spark, str(tmp_path)).collect()}
+    assert {k for k, _ in rows} == {"byte_bpe_50k", "byte_bpe_multi_50k", "word_bpe_49k", "piece_bpe_32k"} and len(rows) == 16
+    assert {lang: rows["byte_bpe_50k", lang].tokens for lang in want} == {lang: n for lang, (n, *_) in want.items()}
+    import sentencepiece
+
+    piece = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+    assert rows["piece_bpe_32k", "es"].tokens == len(piece.encode("el libro 😀"))
 
 
 @given(st.lists(st.integers(0, 100), max_size=60))
