@@ -164,8 +164,8 @@ def pack(items: DataFrame, p: Packing = Packing()) -> DataFrame:
         fill = settle(out.groupBy("part", "bin").agg(F.sum("size").alias("fill"), F.count(F.lit(1)).alias("n")).where(F.col("fill") < F.lit(p.loose * p.capacity)))
         groups = max(1, round((fill.agg(F.sum("n")).first()[0] or 0) / p.partition_items))
         part = (F.pmod(F.xxhash64("old", F.lit(r)), F.lit(groups)) + F.lit((p.rounds + r) << 32)).alias("part")
-        loose = out.join(fill.select("part", "bin"), ["part", "bin"]).withColumnRenamed("part", "old").select("*", part)
-        kept.append(out.join(fill.select("part", "bin"), ["part", "bin"], "left_anti"))
+        loose = out.join(fill.select("part", "bin").hint("merge"), ["part", "bin"]).withColumnRenamed("part", "old").select("*", part)
+        kept.append(out.join(fill.select("part", "bin").hint("merge"), ["part", "bin"], "left_anti"))
         out = settle(loose.repartition(min(groups, 20000), "part").groupBy("part").applyInPandas(_gather(p), shape))
         if out.where("saved > 0").isEmpty():
             break
