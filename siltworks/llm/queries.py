@@ -118,6 +118,23 @@ shares AS (
 joined AS (
   SELECT s.*, coalesce(z.train_chars, 0) AS train_chars, max_repeats * coalesce(z.train_chars, 0) AS max_chars FROM shares s LEFT JOIN sizes z USING (sample_id, lang))
 """
+_OFTEN = f"""lines AS (
+            SELECT doc_id, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+            FROM documents WHERE site IS NOT NULL AND text IS NOT NULL),
+          plain AS (SELECT doc_id, site, line_no, trim(regexp_replace(regexp_replace(lower(line), '\\p{{Nd}}+', '', 'g'), '[{_WHITE}]+', ' ', 'g')) AS p FROM lines),
+          often AS (SELECT site, p FROM plain WHERE length(p) >= 20 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 6)"""
+_SETS = f"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[{_WHITE}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+          s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+          n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)"""
+# The classes of texts of the same words, and the similar pairs between their least ids.
+_NEAR = """member AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS rep FROM w WHERE len(w) >= 5),
+  near AS (SELECT j.*, x.n AS na, y.n AS nb FROM (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+      WHERE a.doc_id IN (SELECT rep FROM member) AND b.doc_id IN (SELECT rep FROM member) GROUP BY ALL) j
+    JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.6 * (x.n + y.n - c))"""
+_MEMBERS = """sizes AS (SELECT rep, count(*) AS k FROM member GROUP BY rep),
+  others AS (SELECT e.a AS rep, sum(k) AS k FROM (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs) e JOIN sizes ON rep = e.b GROUP BY ALL)
+  SELECT doc_id, m.rep, (z.k - 1 + coalesce(o.k, 0))::BIGINT AS links FROM member m JOIN sizes z USING (rep) LEFT JOIN others o ON o.rep = m.rep"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -129,17 +146,19 @@ def oracle_sql() -> dict[str, str]:
             SELECT mix_id, lang, round(part, 9) AS wanted_share, wanted_chars, train_chars, max_chars, used_chars,
               round(CASE WHEN train_chars > 0 THEN used_chars / train_chars ELSE 0 END, 9) AS uses, round(used_chars / total_chars, 9) AS share,
               round(coalesce(used_chars / nullif(sum(used_chars) OVER (PARTITION BY mix_id), 0), 0), 9) AS actual_share, short FROM used""",
-        "p4_found": f"""WITH lines AS (
-            SELECT doc_id, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
-            FROM documents WHERE site IS NOT NULL AND text IS NOT NULL),
-          plain AS (SELECT doc_id, site, line_no, trim(regexp_replace(regexp_replace(lower(line), '\\p{{Nd}}+', '', 'g'), '[{_WHITE}]+', ' ', 'g')) AS p FROM lines),
-          often AS (SELECT site, p FROM plain WHERE length(p) >= 20 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 6)
-          SELECT doc_id, line_no FROM plain JOIN often USING (site, p)""",
-        "p5_found": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[{_WHITE}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
-          s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
-          n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-          j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+        "p4_found": f"WITH {_OFTEN} SELECT doc_id, line_no FROM plain JOIN often USING (site, p)",
+        "p4_texts": f"""WITH {_OFTEN}, x AS (SELECT doc_id, list(line_no) AS drop_ FROM plain JOIN often USING (site, p) GROUP BY doc_id)
+          SELECT d.doc_id, CASE WHEN x.doc_id IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda l, i: NOT list_contains(drop_, i)), chr(10)) END AS text
+          FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id""",
+        "p5_found": f"""WITH {_SETS}, j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
           SELECT a AS doc_id_a, b AS doc_id_b FROM j JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.6 * (x.n + y.n - c)""",
+        "p5_links": f"WITH {_SETS}, {_NEAR} SELECT a AS rep_a, b AS rep_b, round(c / (na + nb - c), 6) AS similarity FROM near",
+        "p5_members": f"""WITH {_SETS}, {_NEAR}, pairs AS (SELECT a, b FROM near), {_MEMBERS}""",
+        "p6_round_trip": "SELECT doc_id, true AS same FROM documents",
+        "p8_members": f"""WITH member AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents WHERE length(text) >= 300),
+          g AS (SELECT DISTINCT doc_id, md5(substr(text, i, 300)) AS h FROM (
+            SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents JOIN member USING (doc_id) WHERE rep = doc_id)),
+          pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id), {_MEMBERS}""",
         "p8_found": """WITH g AS (SELECT DISTINCT doc_id, md5(substr(text, i, 300)) AS h FROM (
             SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))
           SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id""",
