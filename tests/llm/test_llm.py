@@ -46,6 +46,12 @@ OPERATORS = {
     "near groups": lambda s, d: near_duplicates.near_duplicate_groups(d),
     "span pairs": lambda s, d: shared_spans.shared_span_pairs(d),
     "span shares": lambda s, d: shared_spans.shared_parts(d),
+    "near members": lambda s, d: near_duplicates.near_duplicate_members(d),
+    "near links": lambda s, d: near_duplicates.near_duplicate_links(d),
+    "span members": lambda s, d: shared_spans.shared_span_members(d),
+    "passages": lambda s, d: shared_spans.shared_passages(d),
+    "sequences": lambda s, d: site_lines.frequent_sequences(d),
+    "baselines": lambda s, d: bpe_stream.baseline_counts(d, {"piece": ("sentencepiece", "/opt/tokenizers/piece_bpe_32k.model"), "word": ("tokenizers", "/opt/tokenizers/word_bpe_49k.json")}),
     "ids": lambda s, d: bpe_stream.encode_corpus(d),
     "packing": lambda s, d: packing.pack(bpe_stream.token_counts(d).withColumnRenamed("n_tokens", "size")),
     "lines": lambda s, d: site_lines.repeated_lines(d),
@@ -73,8 +79,12 @@ def test_edge_cases(spark, name):
         assert {r.doc_id: r.group_id for r in rows} == {i: i for i in range(1, 9)}
     if name == "span shares":
         assert {r.doc_id: r.share for r in rows}[1] == 0
-    if name in ("near pairs", "span pairs"):
+    if name in ("near pairs", "span pairs", "near links", "passages", "sequences"):
         assert rows == []
+    if name in ("near members", "span members"):
+        assert {r.doc_id: (r.rep, r.links) for r in rows} == {i: (i, 0) for i in ((6,) if name == "near members" else (5, 6))}
+    if name == "baselines":
+        assert len(rows) == len(EDGE) and {r.doc_id: r.t_piece for r in rows}[1] == 0 and {r.doc_id: r.t_word for r in rows}[2] == 0
 
 
 def test_split_quotas_exact():
