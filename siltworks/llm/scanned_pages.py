@@ -16,6 +16,8 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import cached_property
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +55,6 @@ class Scans:
     listed: float = 0.35
     #: Words of so many characters or more aren't looked at as misread.
     word_chars: int = 40
-    #: Headers are compared with so many others on either side, in their order from the left and from the right.
-    reach: int = 8
     #: Words before a page number, and those that begin the heading of a chapter.
     page_words: tuple[str, ...] = ("página", "pagina", "pág", "pag", "pg", "p", "page", "पृष्ठ", "पृ")
     chapter_words: tuple[str, ...] = ("capítulo", "capitulo", "अध्याय", "chapter")
@@ -80,6 +80,8 @@ def roman(s: str) -> int | None:
 def number_beside(line: str) -> tuple[int, str] | None:
     """(number, rest) of a line that begins or ends with a number and has something else beside it."""
     s = line.strip()
+    if not s or not any(c.isdecimal() or c in "ivxlc" for c in (s[0], s[-1])):
+        return None
     for m in (re.match(r"(\d{1,4})[\s.|—–-]+(\D.*)$", s), re.match(r"(.*\D)[\s|—–-]+(\d{1,4})$", s)):
         if m:
             a, b = m[1], m[2]
@@ -113,6 +115,9 @@ def page_width(lines: list[str], p: Scans = Scans()) -> int:
 
 
 def _upper(s: str) -> bool:
+    # 0.7 of four are three capitals
+    if sum(map(str.isupper, s)) < 3:
+        return False
     a = [c for c in s if c.isalpha() and c.lower() != c.upper()]
     return len(a) >= 4 and sum(c.isupper() for c in a) > 0.7 * len(a)
 
@@ -122,7 +127,7 @@ def _loose(line: str, width: int) -> bool:
     s = line.strip()
     if not s or len(s) > width * 1.1 or s[-1] in CLOSING + "," + HYPHENS:
         return False
-    return _upper(s) or len(s) < 0.8 * width
+    return len(s) < 0.8 * width or _upper(s)
 
 
 def _key(line: str) -> str:
@@ -130,23 +135,90 @@ def _key(line: str) -> str:
     return re.sub(r"[\W\d]+", " ", line.lower()).strip()
 
 
+def _apart(x: int, y: int) -> bool:
+    """Lengths of which one is too long for the other."""
+    return abs(x - y) > 0.3 * max(x, y)
+
+
 def _alike(x: str, y: str) -> bool:
-    if abs(len(x) - len(y)) > 0.3 * max(len(x), len(y)):
+    if _apart(len(x), len(y)):
         return False
-    m = SequenceMatcher(None, x, y, autojunk=False)
-    return m.real_quick_ratio() > 0.75 and m.quick_ratio() > 0.75 and m.ratio() > 0.75
+    return 2 * _common(x, y) / (len(x) + len(y)) > 0.75 and SequenceMatcher(None, x, y, autojunk=False).ratio() > 0.75
+
+
+def _common(x: str, y: str) -> int:
+    """The length of the longest common subsequence, of which the blocks that a SequenceMatcher matches are one."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(y):
+        places[c] = places.get(c, 0) | 1 << i
+    rest = whole = (1 << len(y)) - 1
+    for c in x:
+        u = rest & places.get(c, 0)
+        rest = ((rest + u) | (rest ^ u)) & whole
+    return len(y) - rest.bit_count()
+
+
+class Block:
+    """Keys side by side in one whole number, a bit for each character and then a counter for each key, so that the longest common subsequences
+    of another key with all of them are counted at once: what carries into the counter is one character more (after Hyyrö). Characters
+    are dealt out to three lanes, each a third as long, since a common subsequence is at most as long as those of its lanes together."""
+
+    def __init__(self, keys: list[str]) -> None:
+        self.keys = keys
+        self.done: set[str] = set()
+        self.sizes = np.array([len(k) for k in keys])
+        cp = np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32)
+        owner = np.repeat(np.arange(len(keys)), self.sizes)
+        self.chars, code, often = np.unique(cp, return_inverse=True, return_counts=True)
+        lane = np.empty(len(often), np.int64)
+        lane[np.argsort(-often, kind="stable")] = np.resize([0, 1, 2, 2, 1, 0], len(often))
+        self.lanes = [self._lane(code[here], owner[here]) for here in (lane[code] == n for n in range(3))]
+
+    def _lane(self, code: np.ndarray, owner: np.ndarray) -> tuple[dict[str, tuple[int, int]], int, int, np.ndarray]:
+        """(the bits of each character and those of all others, all bits, bytes, which bytes are counters)"""
+        sizes = np.bincount(owner, minlength=len(self.keys))
+        counter = 1 if sizes.max() < 256 else 4
+        ends = np.cumsum(-(-sizes // 8) + counter)
+        size = int(ends[-1])
+        at = np.arange(len(code)) + np.repeat(8 * (ends - counter) - np.cumsum(sizes), sizes)
+        order = np.argsort(code.astype(np.uint16) if len(self.chars) < 1 << 16 else code, kind="stable")
+        codes, first = np.unique(code[order], return_index=True)
+        whole = _number(at, size)
+        here = [_number(x, size) for x in np.split(at[order], first[1:])] if len(codes) else []
+        return {chr(self.chars[c]): (x, whole ^ x) for c, x in zip(codes, here)}, whole, size, ends[:, None] - counter + np.arange(counter)
+
+    def common(self, k: str) -> np.ndarray:
+        """Of each key: what its longest common subsequence with k can't be longer than."""
+        total = np.zeros(len(self.keys), np.int64)
+        for places, rest, size, counters in self.lanes:
+            for c in k:
+                if c in places:
+                    here, others = places[c]
+                    rest = (rest + (rest & here)) | (rest & others)
+            total += np.frombuffer(rest.to_bytes(size, "little"), np.uint8)[counters] @ (256 ** np.arange(counters.shape[1]))
+        return total
+
+
+def _number(at: np.ndarray, size: int) -> int:
+    bits = np.zeros(8 * size, np.uint8)
+    bits[at] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
 class Headers:
-    """Lines to compare others with. Equal ones are told by their key; misread ones stand near each other in the order of their keys
-    or of their reversed keys, since the beginning or the end at least is as it was. A line is compared with those of the 4 * reach
-    nearest that have a sixth of it in common there."""
+    """Lines to compare others with. Equal ones are told by their key. Misread ones are looked for among all keys, of which those are
+    passed over whose longest common subsequence is too short for the ratio. That is the same from either side: a key that met all others
+    without being alike to one leaves the blocks, and those it may be alike to from the other side keep it in mind."""
 
-    def __init__(self, lines: list[str], reach: int) -> None:
+    #: Characters of a block of keys, and keys that need none: these bound memory and time, not what is compared.
+    CHARS = 1 << 17
+    FEW = 24
+
+    def __init__(self, lines: list[str]) -> None:
         self.count = Counter(k for k in map(_key, lines) if k)
-        self.orders = [sorted(self.count), sorted(k[::-1] for k in self.count)]
-        self.reach = reach
         self.near: dict[str, bool] = {}
+        self.met: dict[str, list[str]] = {}
+        self.gone: list[str] = []
 
     def has(self, line: str, own: int = 0) -> bool:
         """Whether a line is alike to one of the lines, of which `own` are the line itself."""
@@ -156,20 +228,50 @@ class Headers:
         if self.count[k] > own:
             return True
         if k not in self.near:
-            self.near[k] = any(_alike(k, other) for other in self._around(k))
+            self.near[k] = any(_alike(k, other) for other in self._likely(k))
         return self.near[k]
 
-    def _around(self, k: str) -> Iterator[str]:
-        for order, key, way in zip(self.orders, (k, k[::-1]), (1, -1)):
-            at = bisect_left(order, key)
-            for other in order[max(0, at - self.reach) : at + self.reach + 1]:
-                if other != key and other.startswith(key[: -(-len(key) // 6)]):
-                    yield other[::way]
+    @cached_property
+    def blocks(self) -> dict[int, Block]:
+        keys = sorted(self.count, key=lambda k: (len(k), k))
+        ends = np.cumsum([len(k) for k in keys]) // self.CHARS
+        return {n: Block([k for _, k in g]) for n, g in groupby(zip(ends.tolist(), keys), key=lambda x: x[0])}
+
+    def _likely(self, k: str) -> Iterator[str]:
+        """All other keys that can be alike, the likeliest of a block first. Blocks go by length, those of other lengths are passed over.
+        Of few keys all are likely, a block would take longer than they do."""
+        if len(self.count) <= self.FEW:
+            yield from (x for x in self.count if x != k)
+            return
+        yield from self.met.pop(k, ()) if k in self.count else self.gone
+        for n, b in [*self.blocks.items()]:
+            if _apart(len(k), min(max(len(k), int(b.sizes[0])), int(b.sizes[-1]))):
+                continue
+            share = 2 * b.common(k) / (b.sizes + len(k))
+            for i in sorted(np.flatnonzero(share > 0.75).tolist(), key=share.__getitem__, reverse=True):
+                if b.keys[i] == k:
+                    own = n
+                    continue
+                if k in self.count:
+                    self.met.setdefault(b.keys[i], []).append(k)
+                yield b.keys[i]
+        # only if none was alike
+        if k in self.count:
+            self.blocks[own].done.add(k)
+            self._shrink(own)
+
+    def _shrink(self, n: int) -> None:
+        b = self.blocks[n]
+        if 4 * len(b.done) > len(b.keys):
+            del self.blocks[n]
+            self.gone += b.done
+            if left := [k for k in b.keys if k not in b.done]:
+                self.blocks[n] = Block(left)
 
 
 def furniture(lines: list[str], width: int, p: Scans = Scans()) -> set[int]:
-    """Indexes of the lines that hold a page number, a running header or footer, or both. Numbers are looked up by their value, headers
-    in sorted order, so that a long book takes time in proportion to its lines."""
+    """Indexes of the lines that hold a page number, a running header or footer, or both. Numbers are looked up by their value, in time
+    in proportion to the lines; different headers are compared all with all, many at once."""
     chapter = lambda x: x.lower().lstrip().startswith(p.chapter_words)
     alone = {i: n for i, x in enumerate(lines) if x.strip() and (n := page_number(x, p.page_words)) is not None}
     beside = {}
@@ -188,7 +290,7 @@ def furniture(lines: list[str], width: int, p: Scans = Scans()) -> set[int]:
         last[n] = i
     for i, n in sorted(alone.items()):
         bare.setdefault(n, []).append(i)
-    rests = Headers([v[1] for v in beside.values()], p.reach)
+    rests = Headers([v[1] for v in beside.values()])
     for i, (n, rest) in beside.items():
         # numbers beside a header go up from page to page: one to three more, at least three lines on for each
         steps = any(last.get(n + k, i) - i >= 3 * k or i - first.get(n - k, i) >= 3 * k for k in (1, 2, 3))
@@ -206,7 +308,7 @@ def furniture(lines: list[str], width: int, p: Scans = Scans()) -> set[int]:
                 side[d].append(j)
     good = {}
     for d, js in side.items():
-        own = Headers([lines[j] for j in js], p.reach)
+        own = Headers([lines[j] for j in js])
         good[d] = [j for j in js if _loose(lines[j], width) or own.has(lines[j], 1)]
     best = max((-1, 1), key=lambda d: (sum(2 if _upper(lines[j]) else 1 for j in good[d]) - (len(side[d]) - len(good[d]))))
     chosen = good[best]
@@ -219,7 +321,7 @@ def furniture(lines: list[str], width: int, p: Scans = Scans()) -> set[int]:
         out.update(clear)
         headers += [lines[j] for j in clear]
     # a header that stands without its number
-    known = Headers(headers, p.reach)
+    known = Headers(headers)
     for i, x in enumerate(lines):
         if i not in out and len(x.strip()) > 5 and _loose(x, width) and not chapter(x) and known.has(x) and not (i and chapter(lines[i - 1])):
             out.add(i)

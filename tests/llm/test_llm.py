@@ -2,6 +2,7 @@
 
 import random
 import re
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -610,6 +611,31 @@ def test_long_book():
     assert time.time() - began < 5 and len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+def test_headers_far_apart_in_order():
+    """Headers without a number, misread at both ends, or with 30 others between them and the ones they are alike to from either side."""
+    r, lines, want = random.Random(7), [], set()
+    letters = lambda: "".join(r.choice("BCDFGHJKLMQRSXZ") for _ in range(25))
+    between = [f"VIAGENS AU{letters()}" for _ in range(30)] + [f"{letters()}UÉ A PONTE" for _ in range(30)]
+    for k in range(120):
+        want.add(len(lines))
+        lines.append(f"{between[k // 2] if k % 2 else 'VIAGENS ATÉ A PONTE'} {k + 1}" if k % 10 else ("QIAGENS ATÉ A PONTQ", "VIAGENS AXÉ A PONTE")[k // 10 % 2])
+        lines += [vocabulary([w for w in _FRAME + _NOUNS if not w.startswith("quadro")], 14, r.random())[:66].strip() for _ in range(9)]
+    assert scanned_pages.furniture(lines, scanned_pages.page_width(lines)) == want
+
+
+def test_headers_against_all_with_all():
+    r, keys = random.Random(3), set()
+    for _ in range(50):
+        ab = "abcdefghijklmnopqrstuvwxyzáéि "[: r.choice([2, 4, 30])]
+        key = [r.choice(ab) for _ in range(r.choice([1, 3, 8, 20, 40]))]
+        keys |= {scanned_pages._key("".join(r.choice(ab) if r.random() < 0.15 else c for c in key if r.random() > 0.05)) for _ in range(3)}
+    keys = sorted(keys - {""} | {"x" * 300, "x" * 250})
+    headers = scanned_pages.Headers(keys)
+    alike = lambda x, y: abs(len(x) - len(y)) <= 0.3 * max(len(x), len(y)) and SequenceMatcher(None, x, y, autojunk=False).ratio() > 0.75
+    for x in keys:
+        assert headers.has(x, 1) == any(alike(x, y) for y in keys if y != x), x
+
+
 def test_gates_of_pages():
     """Each gate is a setting: with another value the page passes or not."""
     text, lists = PAGE, {"pt": {w for _, w, _ in WORDS}}
